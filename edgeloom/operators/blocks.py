@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from edgeloom.session import parallelism
 
 BLOCK = 2048
-SCORE_DIGITS = 10
+SCORE_DIGITS = 8
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -51,13 +51,15 @@ def _lookup(counts: dict[str, int], key: Column) -> Column:
 
 
 def score_blocks(queries: DataFrame, items: DataFrame, fold: Callable, schema: str, *,
-                 known: DataFrame | None = None, metric: str = "dot",
-                 block: int = BLOCK) -> DataFrame:
+                 known: DataFrame | None = None, views: dict[str, list[str]] | None = None,
+                 metric: str = "dot", block: int = BLOCK) -> DataFrame:
     """Runs ``fold`` on every cell of the query x item grid of each group.
 
     ``queries(grp, qid, qvec[, threshold])`` and ``items(grp, iid, ivec)`` share
-    ``grp``; ``known(grp, qid, iid)`` lists pairs the fold must skip, each sent
-    to the one cell that scores it.
+    ``grp``; ``known(grp, view, qid, iid)`` lists pairs to skip, each sent to the
+    one cell that scores it. ``views`` names several results wanted from the
+    same scores of a group (relations over one type pair), each with its own
+    skipped pairs; the fold then reports the view name as ``grp``.
     """
     spread = max(1, int(parallelism(queries.sparkSession) ** 0.5))
     nq = _block_counts(queries, "grp", block, spread)
@@ -79,13 +81,13 @@ def score_blocks(queries: DataFrame, items: DataFrame, fold: Callable, schema: s
     left = queries.where(in_scope).select(
         "grp", "qid", F.col("qvec").cast("array<double>").alias("qvec"),
         threshold.cast("double").alias("threshold"), F.lit(None).cast("bigint").alias("skip"),
-        q_block().alias("_qb"),
+        F.lit(None).cast("string").alias("view"), q_block().alias("_qb"),
         F.explode(F.sequence(F.lit(0), _lookup(ni, F.col("grp")) - 1)).alias("_ib"))
     if known is not None:
         left = left.unionByName(known.where(in_scope).select(
             "grp", "qid", F.lit(None).cast("array<double>").alias("qvec"),
             F.lit(None).cast("double").alias("threshold"), F.col("iid").alias("skip"),
-            q_block().alias("_qb"), i_block().alias("_ib")))
+            F.col("view"), q_block().alias("_qb"), i_block().alias("_ib")))
     right = items.where(in_scope).select(
         "grp", "iid", F.col("ivec").cast("array<double>").alias("ivec"),
         F.explode(F.sequence(F.lit(0), _lookup(nq, F.col("grp")) - 1)).alias("_qb"),
@@ -100,10 +102,17 @@ def score_blocks(queries: DataFrame, items: DataFrame, fold: Callable, schema: s
             return arrow_schema.empty_table()
         qid, iid = qt["qid"].to_numpy(), rt["iid"].to_numpy()
         scores = _scores(_matrix(qt["qvec"]), _matrix(rt["ivec"]), metric)
-        if mt.num_rows:
-            _mask(scores, qid, iid, mt["qid"].to_numpy(), mt["skip"].to_numpy())
-        out = fold(key[0].as_py(), qid, iid, scores, qt["threshold"].to_numpy())
-        return pa.table(out, schema=arrow_schema)
+        threshold = qt["threshold"].to_numpy()
+        group = key[0].as_py()
+        names = views[group] if views else [group]
+        parts = []
+        for name in names:
+            skip = mt.filter(pc.equal(mt["view"], name)) if mt.num_rows else mt
+            own = scores.copy() if len(names) > 1 and skip.num_rows else scores
+            if skip.num_rows:
+                _mask(own, qid, iid, skip["qid"].to_numpy(), skip["skip"].to_numpy())
+            parts.append(pa.table(fold(name, qid, iid, own, threshold), schema=arrow_schema))
+        return pa.concat_tables(parts)
 
     keys = ["grp", "_qb", "_ib"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)

@@ -8,17 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+SPLIT_BYTES = 16 * 1024 ** 3
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a plan reads, from the optimizer's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Equi-join that splits each key with more than ``hot_rows`` rows.
 
-    Only hot keys are salted: their rows in ``big`` spread over
-    ``rows / hot_rows`` salts and their ``lookup`` rows are repeated that often.
-    There are at most ``|big| / hot_rows`` hot keys.
+    Inputs under ``split_bytes`` cannot hold a key too large for adaptive skew
+    handling and use a plain join. Above it, hot keys are counted and only they
+    are salted: their rows in ``big`` spread over ``rows / hot_rows`` salts and
+    their ``lookup`` rows are repeated that often. There are at most
+    ``|big| / hot_rows`` hot keys.
     """
     on = list(on)
+    if input_bytes(big) < split_bytes:
+        return big.join(lookup, on, how)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > hot_rows).select(
         *on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
