@@ -81,7 +81,7 @@ def with_vectors(triples: DataFrame, entities: DataFrame, relations: DataFrame)
     """Adds hv, rv, tv from ``entities(id, vec)`` and ``relations(id, vec)``."""
     out = spread_join(triples, entities.select(F.col("id").alias("h"), F.col("vec").alias("hv")), ["h"])
     out = spread_join(out, entities.select(F.col("id").alias("t"), F.col("vec").alias("tv")), ["t"])
-    # Relations outnumber edge types by nothing: a few dozen rows.
+    # One relation vector per edge type: a short, closed list.
     return out.join(relations.select(F.col("id").alias("r"), F.col("vec").alias("rv")), "r")
 
 
@@ -200,6 +200,8 @@ def train_epoch(triples: DataFrame, entities: DataFrame, relations: DataFrame, m
 
     def batches(frames):
         for pdf in frames:
+            if pdf.empty:
+                continue
             h, r, t, x = (np.array(pdf[c].tolist(), dtype=np.float64) for c in ("hv", "rv", "tv", "nv"))
             sp, ph, pr, pt = _gradients(model, h, r, t)
             sn, nh, nr, nt = _gradients(model, h, r, x)
