@@ -123,7 +123,7 @@ SQL_VIEWS = {
         SELECT gene, stat, row_number() OVER (ORDER BY stat DESC, gene) AS pos,
                COUNT(*) OVER () AS n_total FROM g_ranked""",
     "g_gene_sets": """
-        SELECT p_brand AS set_name, concat('P', CAST(p_partkey AS VARCHAR)) AS gene FROM part""",
+        SELECT concat(p_brand, ' ', p_type) AS set_name, concat('P', CAST(p_partkey AS VARCHAR)) AS gene FROM part""",
 }
 
 
@@ -291,5 +291,5 @@ class Tables:
     @cached_property
     def gene_sets(self) -> DataFrame:
         return self.read("part").select(
-            F.col("p_brand").alias("set_name"),
+            F.concat_ws(" ", "p_brand", "p_type").alias("set_name"),
             F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("gene"))
