@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 EPOCH_TEXT = "1900-01-01"
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` applied to ``value``, computed once even if used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tidy(value: Column, digits: int = 6) -> Column:
     """Round and turn a negative zero into zero."""
     return F.round(value, digits) + F.lit(0.0)
@@ -42,7 +47,11 @@ def parse_date(text: Column) -> Column:
 
 def has_any(text: Column, terms: Sequence[str]) -> Column:
     """True when any of the terms occurs in the lower-cased text."""
-    low = F.lower(text)
+    return bind(F.lower(text), lambda low: holds_any(low, terms))
+
+
+def holds_any(low: Column, terms: Sequence[str]) -> Column:
+    """Like ``has_any`` for text that is lower-cased already."""
     return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
 
 
@@ -81,7 +90,7 @@ def multiply(a: Column, b: Column) -> Column:
 
 
 def scale(a: Column, k: Column) -> Column:
-    return F.transform(a, lambda x: x * k)
+    return bind(k, lambda f: F.transform(a, lambda x: x * f))
 
 
 def norm(vec: Column) -> Column:
@@ -94,9 +103,14 @@ def sigmoid(x: Column) -> Column:
 
 def layer_norm(vec: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit population variance per vector (unit gain, no shift)."""
-    mean = total(vec) / F.size(vec)
-    var = total(F.transform(vec, lambda x: (x - mean) * (x - mean))) / F.size(vec)
-    return F.transform(vec, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+    def centred(v: Column) -> Column:
+        return bind(total(v) / F.size(v), lambda mu: F.transform(v, lambda x: x - mu))
+
+    def scaled(c: Column) -> Column:
+        deviation = F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + F.lit(eps))
+        return bind(deviation, lambda d: F.transform(c, lambda x: x / d))
+
+    return bind(bind(vec, centred), scaled)
 
 
 def zeros(dim: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom import constants
-from edgeloom.functions.scalar import first_match, has_any
+from edgeloom.functions.scalar import bind, first_match, has_any, holds_any
 
 TIE_ORDER = ["src_type", "rel", "src", "dst"]
 
@@ -23,8 +23,10 @@ def is_mechanism(name: Column, terms: Sequence[str] = constants.MECHANISM_TERMS)
 
 def pathway_tags(name: Column, terms: dict[str, Sequence[str]] = constants.PATHWAY_TERMS) -> Column:
     """All tags with a term in the name, in table order."""
-    tags = F.array(*[F.when(has_any(name, words), F.lit(tag)) for tag, words in terms.items()])
-    return F.filter(tags, lambda t: t.isNotNull())
+    def tags(low: Column) -> Column:
+        return F.array(*[F.when(holds_any(low, words), F.lit(tag)) for tag, words in terms.items()])
+
+    return F.filter(bind(F.lower(name), tags), lambda t: t.isNotNull())
 
 
 def canonical_name(name: Column, forms: Sequence[tuple[str, str]] = constants.ENTITY_FORMS) -> Column:
