@@ -35,14 +35,11 @@ def parse_date(text: Column) -> Column:
     """Lenient date: full date, month or year; anything else gives 1900-01-01."""
     head = F.substring(text, 1, 10)
     year = F.substring(head, 1, 4)
-    month = F.lpad(F.regexp_extract(head, r"^\d{4}-(\d{1,2})", 1), 2, "0")
-    day = F.lpad(F.regexp_extract(head, r"^\d{4}-\d{1,2}-(\d{1,2})$", 1), 2, "0")
-    full = F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat_ws("-", year, month, day))
-    monthly = F.when(head.rlike(r"^\d{4}-\d{1,2}$"), F.concat_ws("-", year, month, F.lit("01")))
-    yearly = F.when(head.rlike(r"^\d{4}"), F.concat(year, F.lit("-01-01")))
-    usable = F.when(year != "0000", F.lit(True))
-    tries = [F.when(usable, t).try_cast("date") for t in (full, monthly, yearly)]
-    return F.coalesce(*tries, F.lit(EPOCH_TEXT).cast("date"))
+    # The cast reads yyyy, yyyy-[m]m and yyyy-[m]m-[d]d; the pattern keeps out
+    # the looser forms it would also take.
+    whole = F.when(head.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2})?)?$"), head).try_cast("date")
+    yearly = F.when(head.rlike(r"^\d{4}"), F.concat(year, F.lit("-01-01"))).try_cast("date")
+    return F.coalesce(F.when(year != "0000", F.coalesce(whole, yearly)), F.lit(EPOCH_TEXT).cast("date"))
 
 
 def has_any(text: Column, terms: Sequence[str]) -> Column:

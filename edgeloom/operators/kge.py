@@ -184,7 +184,8 @@ def _gradients(name: str, h, r, t):
 
 
 def train_epoch(triples: DataFrame, entities: DataFrame, relations: DataFrame, model: str, epoch: int,
-                n_entities: int, lr: float = 1e-3, seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
+                n_entities: int, n_triples: int, dims: tuple[int, int], lr: float = 1e-3,
+                seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
     """One full-batch epoch: join, per-triple gradients, summed per id, Adam step.
 
     ``entities`` and ``relations`` are ``(id, vec, m, v)``. Gradients are summed
@@ -192,7 +193,7 @@ def train_epoch(triples: DataFrame, entities: DataFrame, relations: DataFrame, m
     one row per batch.
     """
     scorer = SCORERS[model]
-    n = triples.count()
+    n = n_triples
     pairs = corrupt_tails(triples, n_entities, 1, seed + epoch)
     full = with_vectors(pairs.select("h", "r", "t", "neg_t"), entities.select("id", "vec"),
                         relations.select("id", "vec"))
@@ -231,8 +232,7 @@ def train_epoch(triples: DataFrame, entities: DataFrame, relations: DataFrame, m
         batches, "kind string, id bigint, g array<double>, loss double"))
     loss = grads.where("kind = 'loss'").agg(F.sum("loss")).first()[0]
 
-    def step(table: DataFrame, kind: str) -> DataFrame:
-        dim = len(table.select("vec").first()[0])
+    def step(table: DataFrame, kind: str, dim: int) -> DataFrame:
         g = grads.where(F.col("kind") == kind).groupBy("id").agg(V.vector_sum("g", dim).alias("g"))
         joined = table.join(g, "id", "left").withColumn("g", F.coalesce("g", V.zeros(dim)))
         b1, b2, eps = 0.9, 0.999, 1e-8
@@ -242,7 +242,7 @@ def train_epoch(triples: DataFrame, entities: DataFrame, relations: DataFrame, m
             F.sqrt(v / (1 - b2 ** epoch)) + eps))
         return cut_lineage(joined.select("id", F.zip_with("vec", rate, lambda w, d: w - d).alias("vec"), "m", "v"))
 
-    return step(entities, "e"), step(relations, "r"), float(loss)
+    return step(entities, "e", dims[0]), step(relations, "r", dims[1]), float(loss)
 
 
 def initial_vectors(ids: DataFrame, dim: int, seed: int, bound: float) -> DataFrame:
@@ -262,8 +262,11 @@ def fit(triples: DataFrame, entity_ids: DataFrame, relation_ids: DataFrame, mode
     if model == "transe":
         entities = normalise(entities)
     relations = initial_vectors(relation_ids, rel_dim, seed + 1, rel_bound)
+    entities, relations, triples = cut_lineage(entities), cut_lineage(relations), cut_lineage(triples)
+    n_triples = triples.count()
     history = []
     for epoch in range(1, epochs + 1):
-        entities, relations, loss = train_epoch(triples, entities, relations, model, epoch, n_entities, lr, seed)
+        entities, relations, loss = train_epoch(triples, entities, relations, model, epoch, n_entities, n_triples,
+                                                (dim, rel_dim), lr, seed)
         history.append(loss)
     return entities, relations, history

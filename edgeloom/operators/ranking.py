@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,19 +45,29 @@ def display_target(canonical: Column, original: Column) -> Column:
     return F.coalesce(F.nullif(fixed, F.lit("")), original)
 
 
+def matches(text: Column, low: Column, pattern: str) -> Column:
+    """Case-insensitive pattern match; plain alternatives need no regex engine."""
+    if re.fullmatch(r"[a-z0-9 |-]+", pattern):
+        return holds_any(low, pattern.split("|"))
+    return text.rlike(f"(?i){pattern}")
+
+
 def category(name: Column, patterns: Sequence[tuple[str, str]] = constants.CATEGORY_PATTERNS,
              default: str = "Other") -> Column:
     """Category of the last matching pattern."""
-    out = None
-    for label, pattern in reversed(list(patterns)):
-        hit = name.rlike(f"(?i){pattern}")
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out.otherwise(F.lit(default))
+    def pick(low: Column) -> Column:
+        out = None
+        for label, pattern in reversed(list(patterns)):
+            hit = matches(name, low, pattern)
+            out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
+        return out.otherwise(F.lit(default))
+
+    return bind(F.lower(name), pick)
 
 
 def pathway_axis(name: Column, pattern: str = constants.FIBROSIS_AXIS_PATTERN,
                  axes: tuple[str, str] = constants.PATHWAY_AXES) -> Column:
-    return F.when(name.rlike(f"(?i){pattern}"), F.lit(axes[1])).otherwise(F.lit(axes[0]))
+    return bind(F.lower(name), lambda low: F.when(matches(name, low, pattern), F.lit(axes[1])).otherwise(F.lit(axes[0])))
 
 
 def best_per_entity(candidates: DataFrame, key: str = "canonical_name") -> DataFrame:

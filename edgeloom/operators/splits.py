@@ -89,7 +89,7 @@ def stratified_split(edges: DataFrame, train: float = 0.8, val: float = 0.1, tes
     unique = edges.select(*PAIR).distinct()
     keyed = unique.withColumn("_k", seeded_key(seed, F.col("src"), F.col("dst")))
     placed = dense_number(keyed, EDGE_TYPE, [F.col("_k"), F.col("src"), F.col("dst")], "_pos")
-    sizes = unique.groupBy(*EDGE_TYPE).agg(F.count(F.lit(1)).alias("_n")).select(
+    sizes = placed.groupBy(*EDGE_TYPE).agg(F.count(F.lit(1)).alias("_n")).select(
         *EDGE_TYPE, "_n",
         F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(val))).cast("bigint").alias("_nv"),
         F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(test))).cast("bigint").alias("_nt"))

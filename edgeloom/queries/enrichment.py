@@ -57,7 +57,7 @@ def nes_sql(scores, null):
 
 def inputs(t):
     positions = E.rank_genes(t.ranked)
-    return positions, t.ranked.count(), E.hits(t.gene_sets, positions)
+    return positions, positions.count(), E.hits(t.gene_sets, positions)
 
 
 @query("S9_clean_statistics", """

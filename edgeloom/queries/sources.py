@@ -65,8 +65,7 @@ def id_maps(t):
     SELECT src_type, rel, dst_type, src, dst, fold AS split FROM ({STRAT_SQL}) WHERE fold IN ('val', 'test')""")
 def dataset(t):
     path = side_table(t.spark, "dataset")
-    split = S.stratified_split(t.edges)
-    W.write_dataset(split, S.stratified_report(split), path)
+    W.write_dataset(S.stratified_split(t.edges), S.stratified_report, path)
     # Partition pruning: only the val and test folders are listed and read.
     back = t.spark.read.parquet(f"{path}/edges").where(F.col("split").isin("val", "test"))
     return back.select(*[F.col(c).cast("string") if c in ("src_type", "rel", "dst_type", "split") else F.col(c)

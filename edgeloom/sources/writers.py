@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,13 @@ def write_maps(entities: DataFrame, relations: DataFrame, path: str) -> None:
     relations.select(edge_key().alias("relation"), "relation_id").write.mode("errorifexists").json(f"{path}/relation_map")
 
 
-def write_dataset(split_edges: DataFrame, report: DataFrame, path: str) -> None:
-    """Edges partitioned by split and relation, with a report beside them."""
+def write_dataset(split_edges: DataFrame, report: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Edges partitioned by split and relation, with a report beside them.
+
+    The report is made from the written table, so the split is computed once.
+    """
     split_edges.write.mode("errorifexists").partitionBy("split", "rel").parquet(f"{path}/edges")
-    report.write.mode("errorifexists").json(f"{path}/report")
+    report(split_edges.sparkSession.read.parquet(f"{path}/edges")).write.mode("errorifexists").json(f"{path}/report")
 
 
 def write_features(features: DataFrame, path: str, split: str) -> None:
