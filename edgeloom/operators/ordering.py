@@ -20,8 +20,8 @@ SLICE = "_slice"
 def sorted_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows tagged with their range slice.
 
-    The tag is checkpointed: range bounds come from a sample, and every later
-    read must see the same slices even if executors are lost.
+    The tagged rows are written out: range bounds come from a sample, and every
+    later read must see the same slices even if executors are lost.
     """
     n = parallelism(df.sparkSession)
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,10 @@ SPLIT_BYTES = 16 * 1024 ** 3
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables a plan reads, from the optimizer's statistics."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    try:
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except ValueError:  # an estimate too long to read is no evidence of a small table
+        return sys.maxsize
 
 
 def spread_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",

@@ -46,17 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def side_table(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame as a table written to the shared folder and read back.
+
+    It survives executor loss like a reliable checkpoint, and the optimizer
+    sees its true size: a checkpoint keeps the estimate of the plan it came
+    from, which grows without bound in iterative jobs.
+    """
+    path = side_table(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partition count for explicit range partitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
