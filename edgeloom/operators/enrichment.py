@@ -106,22 +106,26 @@ def normalise(scores: DataFrame, null: DataFrame) -> DataFrame:
         "nes", F.try_divide(F.col("es"), F.when(F.col("es") >= 0, F.col("up")).otherwise(F.col("down")))).drop("up", "down")
 
 
+def _null_lists(null: DataFrame, column: str) -> DataFrame:
+    """Null values per size as one array: at most ``max_size`` rows of ``n_sets`` numbers."""
+    return F.broadcast(null.groupBy("size").agg(F.collect_list(column).alias("_null")))
+
+
 def nominal_p(scores: DataFrame, null: DataFrame) -> DataFrame:
     """NES and share of same-sign null scores at least as extreme."""
-    observed = normalise(scores, null)
-    same = (F.col("n_es") >= 0) == (F.col("es") >= 0)
-    against = observed.join(null.select("size", F.col("es").alias("n_es")), "size")
-    return against.groupBy(SET, "size", "es", "nes").agg(
-        ((F.count(F.when(same & (F.abs("n_es") >= F.abs("es")), 1)) + 1)
-         / (F.count(F.when(same, 1)) + 1)).alias("pval"))
+    against = normalise(scores, null).join(_null_lists(null, "es"), "size")
+    same = F.filter("_null", lambda x: (x >= 0) == (F.col("es") >= 0))
+    extreme_ones = F.filter(same, lambda x: F.abs(x) >= F.abs(F.col("es")))
+    return against.select(SET, "size", "es", "nes", (
+        (F.size(extreme_ones) + 1) / (F.size(same) + 1)).alias("pval"))
 
 
 def empirical_p(observed: DataFrame, null: DataFrame) -> DataFrame:
     """(null at least as extreme + 1) / (null sets + 1) on normalised scores of equal size."""
-    against = observed.join(null.select("size", F.col("nes").alias("n_nes")), "size")
-    return against.groupBy(SET, "nes").agg(
-        F.count(F.lit(1)).alias("n_random"),
-        ((F.count(F.when(F.abs("n_nes") >= F.abs("nes"), 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p_empirical"))
+    against = observed.join(_null_lists(null, "nes"), "size")
+    beyond = F.filter("_null", lambda x: F.abs(x) >= F.abs(F.col("nes")))
+    return against.select(SET, "nes", F.size("_null").cast("bigint").alias("n_random"),
+                          ((F.size(beyond) + 1) / (F.size("_null") + 1)).alias("p_empirical"))
 
 
 def leave_one_out(members: DataFrame, n_genes: int) -> DataFrame:
@@ -164,8 +168,9 @@ def remaining_genes(sets: DataFrame, max_size: int = 500) -> DataFrame:
 
 def histogram(values: DataFrame, column: str, bins: int = 40) -> DataFrame:
     """Counts per equal-width bin between the extremes."""
-    edges = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    share = F.coalesce(F.try_divide(F.col(column) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    return values.join(F.broadcast(edges)).select(  # one row of edges
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    lo, hi = F.lit(low).cast("double"), F.lit(high).cast("double")
+    share = F.coalesce(F.try_divide(F.col(column) - lo, hi - lo), F.lit(0.0))
+    return values.select(
         F.least(F.lit(bins), F.floor(share * bins) + 1).cast("bigint").alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"))

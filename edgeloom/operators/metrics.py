@@ -28,7 +28,12 @@ def pooled_ranks(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count(F.when(F.col("is_pos") == 0, 1)).alias("n"))
     up = running_totals(counts, keys, [F.col("score")], {"n_upto": F.col("n")})
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.sum("p").alias("p_all"))
-    joined = up.join(totals, keys) if keys else up.join(F.broadcast(totals))  # one row
+    if keys:
+        joined = up.join(totals, keys)
+    else:
+        both = totals.first()
+        joined = up.withColumn("n_all", F.lit(both.n_all).cast("bigint")).withColumn(
+            "p_all", F.lit(both.p_all).cast("bigint"))
     return joined.select(*keys, "score", "p", "n", "p_all", "n_all",
                          (F.col("n_upto") - F.col("n")).alias("n_below"),
                          (F.col("n_all") - F.col("n_upto")).alias("n_above"))

@@ -113,11 +113,9 @@ def compare_models(models: DataFrame, metric_columns: Sequence[str], ours: str)
     """First reported metric per model and fold change of ``ours`` over the best other."""
     value = F.coalesce(*[F.col(c) for c in metric_columns])
     named = models.select("model", value.alias("metric"))
-    best = named.where(F.col("model") != ours).agg(F.max("metric").alias("best_other"))
-    # One summary row joined to a short table of models.
-    return named.join(F.broadcast(best)).select(
-        "model", "metric", F.when(F.col("model") == ours, F.try_divide(F.col("metric"), F.col("best_other"))
-                                  ).alias("fold"))
+    best = named.where(F.col("model") != ours).agg(F.max("metric")).first()[0]
+    fold = F.try_divide(F.col("metric"), F.lit(best).cast("double"))
+    return named.select("model", "metric", F.when(F.col("model") == ours, fold).alias("fold"))
 
 
 def best_epoch(history: DataFrame, metric: str) -> DataFrame:
@@ -128,9 +126,8 @@ def best_epoch(history: DataFrame, metric: str) -> DataFrame:
 def suppression(scores: DataFrame, reference: str) -> DataFrame:
     """Mean and best score on injected pairs per model and suppression 1 - mean/reference mean."""
     stats = scores.groupBy("model").agg(F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
-    base = stats.where(F.col("model") == reference).select(F.col("mean_score").alias("_base"))
-    out = stats.join(F.broadcast(base)).withColumn(
-        "suppression", F.lit(1.0) - F.try_divide(F.col("mean_score"), F.col("_base"))).drop("_base")
+    base = stats.where(F.col("model") == reference).agg(F.max("mean_score")).first()[0]
+    out = stats.withColumn("suppression", F.lit(1.0) - F.try_divide(F.col("mean_score"), F.lit(base).cast("double")))
     lowest = Window.partitionBy(F.lit(1)).orderBy("mean_score", "model")  # one row per model
     return out.withColumn("is_best", F.row_number().over(lowest) == 1)
 

@@ -97,7 +97,7 @@ def ranked_sink(t):
       (SELECT src_type, src FROM k UNION SELECT dst_type, dst FROM k)""")
 def subgraph_sink(t):
     path = side_table(t.spark, "subgraph")
-    masked = t.edges.where("rel <> 'BUYS'").withColumn("mask", ((F.col("src") * 31 + F.col("dst") * 17) % 100) / 100.0)
+    masked = t.edges.withColumn("mask", ((F.col("src") * 31 + F.col("dst") * 17) % 100) / 100.0)
     kept, nodes = E.extract_subgraph(masked, "mask", 0.3)
     W.write_subgraph(kept, nodes, path)
     edges = t.spark.read.option("header", True).csv(f"{path}/edges")

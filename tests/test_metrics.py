@@ -97,3 +97,13 @@ def test_hits_per_row(spark):
     pos = spark.createDataFrame([(1, 5.0), (2, 1.0)], "item long, score double")
     neg = spark.createDataFrame([(1, 4.0), (1, 3.0), (2, 4.0), (2, 3.0)], "item long, neg_score double")
     assert M.hits_per_row(pos, neg, [1]).first().hits_1 == 0.5
+
+
+def test_baseline_plan(spark):
+    from edgeloom.plans.baselines import run_baselines
+
+    triples = spark.createDataFrame([(i, i % 2, (i + 1) % 10) for i in range(10)], "h long, r long, t long")
+    out = run_baselines(triples.where("h < 8"), triples.where("h >= 8"), triples, spark.range(10), spark.range(2),
+                        ["distmult"], dim=4, epochs=1)
+    rows = {r.relation: r for r in out.collect()}
+    assert rows["ALL"].n_triples == 2 and rows["ALL"].model == "distmult" and 0 < rows["ALL"].mrr <= 1
