@@ -282,3 +282,26 @@ register_training("K8_training_epochs_rotate", "rotate")
 def tail_corruption(t):
     triples, _, _ = kge_inputs(t, "distmult")
     return K.corrupt_tails(triples, t.read("embeddings").count(), 3).withColumn("copy", F.col("copy").cast("bigint"))
+
+
+def start_sql(seed, key, bound):
+    """Seeded start vectors of 16 numbers, as in the first training epoch."""
+    u = (f"('0x' || substr(md5(concat_ws('|', '{seed}', {key}, i)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE")
+    return f"list_transform(range(1, 17), lambda i: ({u} * 2 - 1) * sqrt(6.0::DOUBLE / {bound}))"
+
+
+@query("K8_first_epoch_loss", f"""
+    WITH n AS (SELECT COUNT(*) AS ne FROM embeddings),
+    e AS (SELECT vec_id, {start_sql(42, 'vec_id', '(ne + 16)')} AS v FROM embeddings, n),
+    r AS (SELECT rid, {start_sql(43, 'rid', '18')} AS v FROM (VALUES (0), (1)) x(rid)),
+    k AS (SELECT src AS h, CASE rel WHEN 'PROMOTES' THEN 1 ELSE 0 END AS r, dst AS t FROM g_known),
+    p AS (SELECT k.*, CAST(floor(('0x' || substr(md5(concat_ws('|', '43', h, r, t, 1)), 1, 13))::BIGINT
+              / 4503599627370496.0::DOUBLE * ne) AS BIGINT) AS x FROM k, n),
+    s AS (SELECT list_dot_product({zipped('a.v', 'r.v', '*')}, b.v) AS sp,
+                 list_dot_product({zipped('a.v', 'r.v', '*')}, c.v) AS sn
+          FROM p JOIN e a ON a.vec_id = p.h JOIN r ON r.rid = p.r JOIN e b ON b.vec_id = p.t JOIN e c ON c.vec_id = p.x)
+    SELECT round(AVG((ln(1 + exp(-sp)) + ln(1 + exp(sn))) / 2), 8) AS loss FROM s""")
+def first_epoch(t):
+    triples, entity_ids, relation_ids = train_inputs(t)
+    _, _, history = K.fit(triples, entity_ids, relation_ids, "distmult", dim=16, epochs=1, lr=0.01)
+    return t.spark.createDataFrame([(round(history[0], 8),)], "loss double")
