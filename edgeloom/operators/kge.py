@@ -125,20 +125,21 @@ def filtered_ranks(test: DataFrame, true_triples: DataFrame, entities: DataFrame
     scorer = SCORERS[model]
     n_rel = relations.count()
 
-    def rounded(triples):
+    def rounded(triples, *extra):
+        # Written once: both directions and all their steps read it.
         full = with_vectors(triples.select("h", "r", "t").distinct(), entities, relations)
-        return full.withColumn("score", F.round(scorer.score(F.col("hv"), F.col("rv"), F.col("tv")),
-                                                blocks.SCORE_DIGITS))
+        score = F.round(scorer.score(F.col("hv"), F.col("rv"), F.col("tv")), blocks.SCORE_DIGITS)
+        return cut_lineage(full.select("h", "r", "t", score.alias("score"), *extra))
 
-    rows, known = rounded(test), rounded(true_triples).select("h", "r", "t", "score")
+    rows = rounded(test, scorer.tail_query(F.col("hv"), F.col("rv")).alias("tail_query"),
+                   scorer.head_query(F.col("tv"), F.col("rv")).alias("head_query"))
+    known = (rows if test is true_triples else rounded(true_triples)).select("h", "r", "t", "score")
     items = entities.select(F.lit("all").alias("grp"), F.col("id").alias("iid"), F.col("vec").alias("ivec"))
     out = rows.select("h", "r", "t")
-    for side, own, other, query in (
-            ("tail", "h", "t", scorer.tail_query(F.col("hv"), F.col("rv"))),
-            ("head", "t", "h", scorer.head_query(F.col("tv"), F.col("rv")))):
+    for side, own, other in (("tail", "h", "t"), ("head", "t", "h")):
         queries = rows.select(F.lit("all").alias("grp"),
                               _pack(F.col(own) * n_rel + F.col("r"), F.col(other)).alias("qid"),
-                              query.alias("qvec"), F.col("score").alias("threshold"), own, "r")
+                              F.col(f"{side}_query").alias("qvec"), F.col("score").alias("threshold"), own, "r")
         ranks = rank_among(queries, items, known.withColumn("kid", F.col(other)), [own, "r"],
                            scorer.metric, block)
         out = out.join(ranks.select(own, "r", F.col("qid").bitwiseAND(F.lit((1 << 32) - 1)).alias(other),

@@ -12,6 +12,7 @@ from edgeloom.operators import blocks
 from edgeloom.operators.graph import EDGE_TYPE
 from edgeloom.operators.ordering import average_rank, running_totals
 from edgeloom.operators.scoring import score_edges
+from edgeloom.session import cut_lineage
 
 SCORED_PAIR = [*EDGE_TYPE, "src", "dst"]
 
@@ -97,11 +98,12 @@ def filtered_ranks(eval_pairs: DataFrame, true_pairs: DataFrame, vectors: DataFr
                    block: int = blocks.BLOCK) -> DataFrame:
     """Head and tail rank of each eval pair among typed candidates, other true pairs removed."""
     def scored(pairs: DataFrame) -> DataFrame:
-        return score_edges(pairs.select(*SCORED_PAIR).distinct(), vectors).withColumn(
-            "score", F.round("score", blocks.SCORE_DIGITS))
+        # Written once: both directions and all their steps read it.
+        return cut_lineage(score_edges(pairs.select(*SCORED_PAIR).distinct(), vectors).select(
+            *SCORED_PAIR, F.round("score", blocks.SCORE_DIGITS).alias("score")))
 
     known = scored(true_pairs)
-    rows = scored(eval_pairs)
+    rows = known if eval_pairs is true_pairs else scored(eval_pairs)
     out = rows.select(*SCORED_PAIR)
     pair_type = F.concat_ws("__", "src_type", "dst_type")
     for side, own, other in (("tail", "src", "dst"), ("head", "dst", "src")):
@@ -111,7 +113,7 @@ def filtered_ranks(eval_pairs: DataFrame, true_pairs: DataFrame, vectors: DataFr
         queries = rows.join(own_vecs, [f"{own}_type", own]).select(
             pair_type.alias("grp"), _pack(F.col(own), F.col(other)).alias("qid"), "qvec",
             F.col("score").alias("threshold"), *keys)
-        pairs = eval_pairs.select(F.col(f"{other}_type").alias("node_type"), pair_type.alias("grp")).distinct()
+        pairs = rows.select(F.col(f"{other}_type").alias("node_type"), pair_type.alias("grp")).distinct()
         items = vectors.join(pairs, "node_type").select("grp", F.col("idx").alias("iid"), F.col("vec").alias("ivec"))
         ranks = rank_among(queries, items, known.withColumn("kid", F.col(other)), keys, block=block)
         ranks = ranks.select(*keys, (F.col("qid").bitwiseAND(F.lit((1 << 32) - 1))).alias(other),
