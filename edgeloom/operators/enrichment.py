@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.scalar import seeded_uniform
 from edgeloom.operators.ordering import dense_number
+from edgeloom.session import cut_lineage
 
 SET = "set_name"
 
@@ -65,6 +66,10 @@ def random_positions(sizes: DataFrame, n_sets: int, n_genes: int, seed: int = 12
     the cost follows the set sizes, not the number of genes. Drawing more never
     changes earlier picks: the draw count doubles until every set is full.
     """
+    sizes = cut_lineage(sizes.select("size").distinct())
+    wanted, largest = sizes.agg(F.sum("size"), F.max("size")).first()
+    if (largest or 0) > n_genes:
+        raise ValueError("a set cannot be larger than the gene universe")
     factor = 2
     while True:
         draws = sizes.select("size", F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("r"))
@@ -74,14 +79,10 @@ def random_positions(sizes: DataFrame, n_sets: int, n_genes: int, seed: int = 12
         first = draws.withColumn("pos", F.floor(u * n_genes).cast("bigint") + 1).groupBy("size", "r", "pos").agg(
             F.min("j").alias("j"))
         order = Window.partitionBy("size", "r").orderBy("j")
-        picked = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("size"))
-        # Distinct positions fall short only if sets are a large part of the genes.
-        largest = sizes.agg(F.max("size")).first()[0] or 0
-        if largest > n_genes:
-            raise ValueError("a set cannot be larger than the gene universe")
-        if largest * 3 <= n_genes or picked.groupBy("size", "r").count().where(
-                F.col("count") < F.col("size")).isEmpty():
-            return picked.select("size", "r", "pos")
+        picked = cut_lineage(first.withColumn("_n", F.row_number().over(order)).where(
+            F.col("_n") <= F.col("size")).select("size", "r", "pos"))
+        if picked.count() == (wanted or 0) * n_sets:
+            return picked
         factor *= 2
 
 

@@ -10,7 +10,6 @@ from edgeloom.operators import kge as K
 from edgeloom.operators import metrics as M
 from edgeloom.operators import scoring as S
 from edgeloom.plans.global_ranking import rank_targets
-from edgeloom.queries.graph import with_ids
 from edgeloom.queries.registry import query
 
 EDGE_TYPES = [("Gene", "ASSOCIATED_WITH", "Disease"), ("Gene", "PROMOTES", "Disease"),
