@@ -9,11 +9,11 @@ s AS (
     FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 sized AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
     FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (
     SELECT a, b FROM pairs JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
-    WHERE 100 * both >= 80 * (x.n + y.n - both)),
+    WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 reach(doc_id, other) AS (
     SELECT doc_id, doc_id FROM sized UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)

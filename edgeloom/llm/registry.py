@@ -8,20 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import minhash_dedup, oracle
+from edgeloom.llm import byte_bpe, minhash_dedup, oracle
 from edgeloom.llm.columns import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_superminhash,)}
+    return {f.__name__: f for f in (op5_byte_bpe, op9_superminhash)}
 
 
 def corpus_sql() -> dict[str, str]:
