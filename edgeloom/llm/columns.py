@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
+#: Rows of a few numbers each that a join may broadcast, some tens of MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,3 +36,11 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
                 start, total = i, 0
             total += int(size)
         yield pa.Table.from_batches([batch.slice(start)])
+
+
+def bounded_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written table of narrow rows for a broadcast join if it is counted to be small.
+
+    Beyond the bound the join shuffles; the result is the same.
+    """
+    return F.broadcast(table) if table.count() <= rows else table

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytestrings import MASK, mix, text_bytes
-from edgeloom.llm.columns import chunks
+from edgeloom.llm.columns import bounded_broadcast, chunks
 from edgeloom.llm.components import components
 from edgeloom.llm.shingles import shingle_sets
 from edgeloom.session import cut_lineage, parallelism
@@ -87,7 +87,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         digests = [(t[at[1:]] - t[at[:-1]]).view(np.int64) for t in totals]
         signature = super_min_hash(sets, at)
         bands = mix((signature * coefficients).reshape(len(sizes), -1, BAND_ROWS).sum(axis=2, dtype=np.uint64))
-        short = mix(signature).astype(np.uint16)
+        short = mix(signature).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([
             part["doc"].combine_chunks().cast(pa.int64()), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]),
             pa.array([row.tobytes() for row in short], pa.binary()),
@@ -108,7 +108,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     lots = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("lots"))
     member = pairs.join(lots, "b").select(F.col("a").alias("need"), F.col("b").alias("head"), F.pmod(F.xxhash64("a"), F.col("lots")).cast("int").alias("lot"), F.lit(1).alias("kind"))
     head = lots.select(F.col("b").alias("need"), F.col("b").alias("head"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("kind"))
-    wanted = member.unionByName(head).join(docs.select(F.col("doc").alias("need"), "text"), "need")
+    wanted = bounded_broadcast(cut_lineage(member.unionByName(head)))
+    wanted = docs.select(F.col("doc").alias("need"), "text").join(wanted, "need")
     dealt = wanted.repartition(parallelism(docs.sparkSession), "head", "lot").sortWithinPartitions("head", "lot", "kind")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def _tile_pairs(table: pa.Table, row: int, col: int, percent: int) -> tuple[np.n
     """Pairs of a tile from different components whose signatures agree in enough slots."""
     block = table["block"].to_numpy()
     ids, comp, size = (table[c].to_numpy() for c in ("doc", "comp", "n"))
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(ids), SLOTS)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), SLOTS)
     rows = np.flatnonzero(block == row)
     cols = rows if row == col else np.flatnonzero(block == col)
     if not len(rows) or not len(cols):
@@ -158,12 +159,13 @@ def _tile_pairs(table: pa.Table, row: int, col: int, percent: int) -> tuple[np.n
     return np.maximum(a, b), np.minimum(a, b)
 
 
-def remaining_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` from ``buckets(band, key, doc, n, sig, comp)`` of mixed components."""
+def remaining_pairs(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs ``(a, b)`` from ``buckets(band, key, doc, comp)`` of mixed components."""
     sizes = buckets.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
     blocks = sizes.select("band", "key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    placed = buckets.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = cut_lineage(buckets.join(blocks, ["band", "key"])).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = placed.join(signed.select("doc", "n", "sig"), "doc")
     tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "doc", "n", "sig", "comp")
 
@@ -182,24 +184,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     signed = cut_lineage(signatures(docs, k))
-    groups = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("doc").alias("last"))
-    members = signed.where("n > 0").join(groups.where("rep != last"), ["set_a", "set_b"]).where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    reps = cut_lineage(signed.where("n > 0").join(groups.select("set_a", "set_b", F.col("rep").alias("doc")), ["set_a", "set_b", "doc"], "left_semi")
-                       .select("doc", "n", "sig", "bands").dropDuplicates(["doc"]))
+    groups = cut_lineage(signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")))
+    members = signed.where("n > 0").select("doc", "set_a", "set_b").join(groups.where("rep != last"), ["set_a", "set_b"]).where(
+        "doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
 
-    banded = reps.select("doc", F.posexplode("bands").alias("band", "key"))
+    # Buckets with two representatives or more, each with its smallest member.
+    banded = signed.where("n > 0").select("doc", "bands").join(groups.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select(
+        "doc", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b != last").drop("last")
-    stars = cut_lineage(banded.join(heads, ["band", "key"]).where("doc != b").select(F.col("doc").alias("a"), "b").distinct())
+    shared = cut_lineage(banded.join(heads, ["band", "key"]))
+    stars = cut_lineage(shared.where("doc != b").select(F.col("doc").alias("a"), "b").distinct())
     linked = cut_lineage(confirmed(stars, docs, k, percent).unionByName(members))
     first = components(linked)
 
     # Buckets whose members are still apart after the stars.
-    at = reps.join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "doc", "n", "sig", "bands", F.coalesce("component", "doc").alias("comp"))
-    mixed = at.select("doc", "comp", F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "key")
-    left = at.select("doc", "n", "sig", "comp", F.posexplode("bands").alias("band", "key")).join(mixed, ["band", "key"])
-    more = remaining_pairs(left, percent).join(stars, ["a", "b"], "left_anti")
+    left = shared.select("band", "key", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "band", "key", "doc", F.coalesce("component", "doc").alias("comp"))
+    more = remaining_pairs(cut_lineage(left), signed, percent).join(stars, ["a", "b"], "left_anti")
     late = cut_lineage(confirmed(cut_lineage(more), docs, k, percent))
     final = components(linked.unionByName(late))
     result = signed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))

@@ -11,12 +11,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import byte_bpe, minhash_dedup, oracle
-from edgeloom.llm.columns import read
+from edgeloom.llm import byte_bpe, language_id, minhash_dedup, oracle
+from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs, fold_of() != 0))
+    return found.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "phrase_chars")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -26,7 +32,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_byte_bpe, op9_superminhash)}
+    return {f.__name__: f for f in (op1_cross_parsing, op5_byte_bpe, op9_superminhash)}
 
 
 def corpus_sql() -> dict[str, str]:
