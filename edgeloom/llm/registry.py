@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import byte_bpe, language_id, minhash_dedup, oracle
+from edgeloom.llm import byte_bpe, language_id, minhash_dedup, oracle, toxicity
 from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "phrase_chars")
 
 
+def op3_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), fold_of() != 0))
+    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -32,7 +38,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_parsing, op5_byte_bpe, op9_superminhash)}
+    return {f.__name__: f for f in (op1_cross_parsing, op3_levenshtein_lexicon, op5_byte_bpe, op9_superminhash)}
 
 
 def corpus_sql() -> dict[str, str]:
