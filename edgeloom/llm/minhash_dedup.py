@@ -11,7 +11,8 @@ Within a band's bucket every member is confirmed against the bucket's smallest
 member, which costs one comparison a member; a bucket of near copies is thus
 joined without comparing all its pairs. Only buckets that still hold members of
 different components have their remaining pairs compared, in square tiles of
-bounded size, by signatures first and by full sets where those agree enough.
+bounded size, by signatures first and by full sets where those agree enough; a
+tile returns the links that join its components, never all its pairs.
 
 Defined results. Null, empty and blank texts have empty sets and link with
 nothing. Rows with a null id are ignored; repeated rows of one id count once if
@@ -36,8 +37,9 @@ from edgeloom.session import cut_lineage, parallelism
 
 SLOTS, BAND_ROWS = 150, 5
 #: A pair at similarity 0.8 agrees in 120 of 150 slots, standard deviation under 5.
-AGREE = 90
-TILE = 1024
+AGREE = 96
+#: Most members of a tile's side, and most shingles of their sets together.
+TILE, TILE_SHINGLES = 1024, 1_500_000
 GOLDEN = 0x9E3779B97F4A7C15
 SIGNATURE = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
                        ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -137,43 +139,98 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return dealt.mapInArrow(check, "a bigint, b bigint")
 
 
-def _tile_pairs(table: pa.Table, row: int, col: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile from different components whose signatures agree in enough slots."""
-    block = table["block"].to_numpy()
-    ids, comp, size = (table[c].to_numpy() for c in ("doc", "comp", "n"))
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), SLOTS)
-    rows = np.flatnonzero(block == row)
-    cols = rows if row == col else np.flatnonzero(block == col)
-    if not len(rows) or not len(cols):
-        return ids[:0], ids[:0]
-    names, counts = np.unique(comp[np.concatenate([rows, cols])], return_counts=True)
-    main = names[counts.argmax()]  # its members need no comparison with each other
-    out_a, out_b = [], []
-    for left, right in ((rows[comp[rows] != main], cols), (cols[comp[cols] != main], rows[comp[rows] == main])):
-        for i in left:
-            near = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-            near = near[(sig[near] == sig[i]).sum(axis=1) >= AGREE]
-            out_a.append(np.full(len(near), ids[i]))
-            out_b.append(ids[near])
-    a, b = np.concatenate([ids[:0], *out_a]), np.concatenate([ids[:0], *out_b])
-    return np.maximum(a, b), np.minimum(a, b)
-
-
-def remaining_pairs(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` from ``buckets(band, key, doc, comp)`` of mixed components."""
+class _Tile:
+    """A square of a bucket: its members, and which pairs are worth a comparison."""
+
+    def __init__(self, key: tuple, table: pa.Table, percent: int):
+        self.band, self.percent = key[0].as_py(), percent
+        row, col = key[2].as_py(), key[3].as_py()
+        self.ids, self.comp, self.size, block = (table[c].to_numpy() for c in ("doc", "comp", "n", "block"))
+        self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(self.ids), SLOTS)
+        self.bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        rows, cols = np.flatnonzero(block == row), np.flatnonzero(block == col)
+        if row == col:
+            cols = rows
+        names, counts = np.unique(self.comp, return_counts=True)
+        main = names[counts.argmax()] if len(names) else 0  # its members need no comparison with each other
+        self.sides = ((rows[self.comp[rows] != main], cols), (cols[self.comp[cols] != main], rows[self.comp[rows] == main]))
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A member and those of other components, closest first, that may reach the similarity.
+
+        A pair is left to the first band in which it shares a bucket.
+        """
+        for left, right in self.sides:
+            for i in left:
+                low, high = np.minimum(self.size[right], self.size[i]), np.maximum(self.size[right], self.size[i])
+                near = right[(self.comp[right] != self.comp[i]) & (100 * low >= self.percent * high)]
+                agree = (self.sig[near] == self.sig[i]).sum(axis=1)
+                near, agree = near[agree >= AGREE], agree[agree >= AGREE]
+                first = ~(self.bands[near, :self.band] == self.bands[i, :self.band]).any(axis=1)
+                near, agree = near[first], agree[first]
+                if len(near):
+                    yield int(i), near[np.argsort(-agree, kind="stable")]
+
+
+def _with_candidates(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+    """Members of the tile that have a candidate in it."""
+    tile = _Tile(key, table, percent)
+    hit = np.zeros(len(tile.ids), bool)
+    for i, near in tile.candidates():
+        hit[i] = True
+        hit[near] = True
+    return table.filter(pa.array(hit))
+
+
+def _joined(key: tuple, table: pa.Table, percent: int, k: int) -> pa.Table:
+    """Confirmed links that join components within the tile, at most one less than its members."""
+    tile = _Tile(key, table, percent)
+    sets: list[np.ndarray] = []
+    for part in chunks(table.select(["text"]).to_batches(), "text"):
+        values, at = shingle_sets(*text_bytes(part["text"]), k)
+        sets += [values[at[i]:at[i + 1]] for i in range(len(at) - 1)]
+    head = {c: c for c in tile.comp.tolist()}
+
+    def find(c: int) -> int:
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    a, b = [], []
+    for i, near in tile.candidates():
+        for j in near.tolist():
+            x, y = find(int(tile.comp[i])), find(int(tile.comp[j]))
+            if x == y:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                head[max(x, y)] = min(x, y)
+                a.append(tile.ids[i])
+                b.append(tile.ids[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def remaining_links(buckets: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join components within ``buckets(band, key, doc, comp)``.
+
+    Tiles first find their members with a candidate by signature; only those get
+    their texts, and pairs are confirmed on full sets unless joined already.
+    """
+    buckets = buckets.join(signed.select("doc", "n"), "doc")
     sizes = buckets.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    blocks = sizes.select("band", "key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    placed = cut_lineage(buckets.join(blocks, ["band", "key"])).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    placed = placed.join(signed.select("doc", "n", "sig"), "doc")
+        F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").drop("lo", "hi")
+    placed = cut_lineage(buckets.drop("n").join(sizes, ["band", "key"])).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "doc", "n", "sig", "comp")
-
-    def tile(key: tuple, table: pa.Table) -> pa.Table:
-        a, b = _tile_pairs(table, key[2].as_py(), key[3].as_py(), percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return tiled.groupBy("band", "key", "row", "col").applyInArrow(tile, "a bigint, b bigint").distinct()
+        "band", "key", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "doc", "comp")
+    facts = signed.select("doc", "n", "sig", "bands")
+    full = tiled.join(facts, "doc").select("band", "key", "row", "col", "block", "doc", "comp", "n", "sig", "bands")
+    square = ["band", "key", "row", "col"]
+    worth = full.groupBy(*square).applyInArrow(lambda key, table: _with_candidates(key, table, percent), full.schema)
+    worth = bounded_broadcast(cut_lineage(worth.drop("sig", "bands")))
+    with_text = docs.select("doc", "text").join(worth, "doc").join(facts.drop("n"), "doc").select(*full.columns, "text")
+    return with_text.groupBy(*square).applyInArrow(lambda key, table: _joined(key, table, percent, k), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,8 +257,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     # Buckets whose members are still apart after the stars.
     left = shared.select("band", "key", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
         "band", "key", "doc", F.coalesce("component", "doc").alias("comp"))
-    more = remaining_pairs(cut_lineage(left), signed, percent).join(stars, ["a", "b"], "left_anti")
-    late = cut_lineage(confirmed(cut_lineage(more), docs, k, percent))
+    late = cut_lineage(remaining_links(cut_lineage(left), signed, docs, k, percent))
     final = components(linked.unionByName(late))
     result = signed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return result.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
