@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import byte_bpe, language_id, minhash_dedup, oracle, toxicity
+from edgeloom.llm import byte_bpe, decontamination, language_id, minhash_dedup, oracle, toxicity
 from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_parsing, op3_levenshtein_lexicon, op5_byte_bpe, op9_superminhash)}
+    return {f.__name__: f for f in (op1_cross_parsing, op3_levenshtein_lexicon, op5_byte_bpe, op6_pigeonhole_edits, op9_superminhash)}
 
 
 def corpus_sql() -> dict[str, str]:
