@@ -21,3 +21,20 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.
        coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sized USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+INT8_TILES = r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT d.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, d.vec_id) AS component_id,
+       coalesce(component_id, d.vec_id) = d.vec_id AS kept
+FROM embeddings d LEFT JOIN counts USING (vec_id) LEFT JOIN least USING (vec_id)
+"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import byte_bpe, decontamination, language_id, minhash_dedup, oracle, toxicity
+from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, minhash_dedup, oracle, toxicity
 from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "phrase_chars")
 
 
+def op2_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.vector_links(read(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op3_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), fold_of() != 0))
@@ -42,8 +46,8 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_parsing, op3_levenshtein_lexicon, op5_byte_bpe, op6_pigeonhole_edits, op9_superminhash)}
+    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op5_byte_bpe, op6_pigeonhole_edits, op9_superminhash)}
 
 
 def corpus_sql() -> dict[str, str]:
-    return {"op9_superminhash": oracle.SUPERMINHASH}
+    return {"op2_int8_tiles": oracle.INT8_TILES, "op9_superminhash": oracle.SUPERMINHASH}
