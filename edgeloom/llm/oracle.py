@@ -1,5 +1,7 @@
 """SQL twins, for an engine with recursive queries and list functions."""
 
+from edgeloom.llm.license_scan import NOTICES, SPELLINGS
+
 SUPERMINHASH = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -38,3 +40,54 @@ SELECT d.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, d.vec
        coalesce(component_id, d.vec_id) = d.vec_id AS kept
 FROM embeddings d LEFT JOIN counts USING (vec_id) LEFT JOIN least USING (vec_id)
 """
+
+QUOTATION_LINKS = r"""
+WITH RECURSIVE lines AS (
+    SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+plain AS (
+    SELECT conv_id, turn, regexp_matches(line, '^[\x20\t]*>') AS quoted,
+           length(regexp_replace(regexp_extract(line, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g')) AS level,
+           trim(regexp_replace(lower(regexp_replace(line, '^(?:[\x20\t]*>)+', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM lines),
+q AS (SELECT * FROM plain WHERE quoted),
+o AS (SELECT DISTINCT conv_id, turn, words FROM plain WHERE NOT quoted AND words <> ''),
+found AS (
+    SELECT q.conv_id, q.turn, q.level, q.words, count(DISTINCT q.rn) AS n, max(o.turn) AS origin
+    FROM (SELECT *, row_number() OVER () AS rn FROM q WHERE words <> '') q JOIN o ON o.conv_id = q.conv_id AND o.words = q.words AND o.turn < q.turn
+    GROUP BY ALL),
+votes AS (SELECT conv_id, turn, origin, sum(n) AS lines FROM found WHERE level = 1 GROUP BY ALL),
+parents AS (SELECT conv_id, turn, (arg_max(origin, lines * 1000000000 + origin)) AS reply_to FROM votes GROUP BY ALL),
+chain(conv_id, turn, thread) AS (
+    SELECT conv_id, turn, reply_to FROM parents
+    UNION SELECT c.conv_id, c.turn, p.reply_to FROM chain c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.thread),
+threads AS (SELECT conv_id, turn, min(thread) AS thread FROM chain GROUP BY ALL),
+nq AS (SELECT conv_id, turn, count(*) AS n FROM q GROUP BY ALL),
+nl AS (SELECT conv_id, turn, sum(n) AS n FROM found GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, coalesce(threads.thread, c.turn) AS thread, reply_to,
+       coalesce(nq.n, 0)::BIGINT AS n_quoted, coalesce(nl.n, 0)::BIGINT AS n_linked,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || trim(CASE WHEN coalesce(nq.n, 0) > 0 THEN array_to_string(
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: NOT regexp_matches(line, '^[\x20\t]*>')
+             AND NOT regexp_matches(line, '^(On .+ wrote:|Am .+ schrieb.*:|Le .+ a écrit ?:|El .+ escribió:)[\x20\t]*$')), chr(10))
+           ELSE coalesce(text, '') END) || chr(10) || '<|end|>' AS message
+FROM conversations c LEFT JOIN parents USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn)
+LEFT JOIN nq USING (conv_id, turn) LEFT JOIN nl USING (conv_id, turn)
+"""
+
+
+def license_digests() -> str:
+    form = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g')"
+    for spelling, one in SPELLINGS:
+        form = rf"regexp_replace({form}, '\b{spelling}\b', '{one}', 'g')"
+    form = rf"regexp_replace({form}, '(?m)^\x20?(copyright|c [0-9]{{4}}|all rights reserved)( .*)?$', '', 'g')"
+    units = f"list_filter(list_transform(string_split({form}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    notices = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
+    return f"""
+WITH known AS (SELECT DISTINCT license_id, array_to_string({units}, ' ') AS words FROM (VALUES {notices}) t(license_id, text)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {units} AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS words FROM d),
+per AS (SELECT r, count(*) AS n FROM l WHERE words IN (SELECT words FROM known) GROUP BY r),
+names AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses FROM l JOIN known USING (words) GROUP BY r),
+whole AS (SELECT r, min(license_id) AS whole_license FROM d JOIN known ON array_to_string(lines, ' ') = words GROUP BY r)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_license_lines, coalesce(licenses, '') AS licenses, whole_license
+FROM d LEFT JOIN per USING (r) LEFT JOIN names USING (r) LEFT JOIN whole USING (r)
+"""

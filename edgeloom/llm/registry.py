@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, minhash_dedup, oracle, toxicity
+from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, oracle, pii, quotation, toxicity
 from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op3_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotation.formatted(quotation.link_quotes(read(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "turn", "role", "thread", "reply_to", "n_quoted", "n_linked", "message")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -41,13 +46,21 @@ def op6_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.built_in(spark))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op5_byte_bpe, op6_pigeonhole_edits, op9_superminhash)}
+    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op4_quotation_links, op5_byte_bpe, op6_pigeonhole_edits, op8_license_digests, op9_superminhash, op10_bootstrapped_pii)}
 
 
 def corpus_sql() -> dict[str, str]:
-    return {"op2_int8_tiles": oracle.INT8_TILES, "op9_superminhash": oracle.SUPERMINHASH}
+    return {"op2_int8_tiles": oracle.INT8_TILES, "op4_quotation_links": oracle.QUOTATION_LINKS, "op8_license_digests": oracle.license_digests(), "op9_superminhash": oracle.SUPERMINHASH}
