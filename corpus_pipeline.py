@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgeloom.llm.minhash_dedup import drop_near_duplicates
+from edgeloom.llm import byte_bpe, decontamination, language_id, minhash_dedup, pii
+from edgeloom.llm.columns import fold_of
+from edgeloom.session import cut_lineage
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the corpus's languages go, among them those without letters."""
+    return language_id.keep_identified(docs, language_id.fit(docs, fold_of() != 0))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return drop_near_duplicates(docs)
+    return minhash_dedup.drop_near_duplicates(docs, k=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the texts; no document goes."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
-STAGES = [("minhash_near_dedup", near_duplicates)]
 
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of what they decode to."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("pii_masking", mask_personal_data),
+    ("byte_bpe_tokens", tokenise),
+]
+
+#: Near duplicates by signature, edits and tokens are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages, each written and read again, to the documents table."""
-    from edgeloom.session import cut_lineage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.byte_bpe import NUMBER, character_kinds
 from edgeloom.llm.bytestrings import text_bytes
-from edgeloom.llm.columns import chunks
+from edgeloom.llm.columns import bounded_broadcast, chunks
+from edgeloom.session import cut_lineage
 
 RATE = 0.08
 SHORTEST = 20
@@ -239,4 +240,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id has no benchmark passage; null ids stay."""
     bad = contaminated(docs, benchmark, rate, doc_id, text=text).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(bad, doc_id, "left_anti")
+    return docs.join(bounded_broadcast(cut_lineage(bad)), doc_id, "left_anti").select(*docs.columns)

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ BLOCK = 256
 EXCERPT = 4000
 MAX_LETTERS = 250
 UNKNOWN = "und"
+#: Mean phrase length under which a text is in none of the languages.
+LEAST_PHRASE = 1.5
 DDL = "doc_id bigint, lang_pred string, score double, phrase_chars double"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_chars", pa.float64())])
 
@@ -237,3 +240,25 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(_identified(part, own, model), schema=SCHEMA)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DDL)
+
+
+def keep_identified(docs: DataFrame, model: Model, least_phrase: float = LEAST_PHRASE, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a known language, with all their columns.
+
+    Rejected are texts that are ``und`` and texts whose phrases average under
+    ``least_phrase`` characters: no language's sample shares more than chance with them.
+    """
+    key = model.key
+    names = docs.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parser(model, key) if model.languages else None
+        for batch in batches:
+            for part in chunks([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])], f"c{at}", 1 << 21):
+                view = pa.table({"doc_id": pa.nulls(part.num_rows, pa.int64()), "text": part[f"c{at}"]})
+                _, lang, _, chars = _identified(view, own, model)
+                keep = pa.compute.and_(pa.compute.not_equal(lang, UNKNOWN), pa.compute.greater_equal(chars, least_phrase))
+                yield from part.filter(keep).rename_columns(batch.schema.names).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -269,4 +269,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id:
     """The rows of ``docs`` whose id is the smallest of its component; null ids stay."""
     groups = near_duplicates(docs, k, percent, doc_id, text)
     gone = groups.where("not kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti")
+    return docs.join(bounded_broadcast(cut_lineage(gone)), doc_id, "left_anti").select(*docs.columns)
