@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, oracle, pii, quotation, toxicity
+from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, oracle, pii, quotation, suffix_dedup, toxicity
 from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op6_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_bwt_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(read(spark, sf_dir, "documents"), length=400)
+
+
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.built_in(spark))
 
@@ -59,7 +63,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op4_quotation_links, op5_byte_bpe, op6_pigeonhole_edits, op8_license_digests, op9_superminhash, op10_bootstrapped_pii)}
+    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op4_quotation_links, op5_byte_bpe, op6_pigeonhole_edits, op7_bwt_expansion, op8_license_digests, op9_superminhash, op10_bootstrapped_pii)}
 
 
 def corpus_sql() -> dict[str, str]:
