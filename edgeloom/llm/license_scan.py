@@ -49,7 +49,7 @@ def canonical(text: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Canonical lines that are not blank."""
-    return F.filter(F.transform(F.split(canonical(text), "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(canonical(text), "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def known_digests(known: DataFrame, license_id: str = "license_id", text: str = "text") -> DataFrame:

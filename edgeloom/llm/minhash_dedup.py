@@ -40,6 +40,8 @@ SLOTS, BAND_ROWS = 150, 5
 AGREE = 96
 #: Most members of a tile's side, and most shingles of their sets together.
 TILE, TILE_SHINGLES = 1024, 1_500_000
+#: Bytes of text handled at a time; an element still open takes ``SLOTS`` bytes.
+CHUNK = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 SIGNATURE = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
                        ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -81,7 +83,7 @@ def super_min_hash(elements: np.ndarray, offsets: np.ndarray, slots: int = SLOTS
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     coefficients = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
-    for part in chunks(batches, "text"):
+    for part in chunks(batches, "text", CHUNK):
         data, offsets = text_bytes(part["text"])
         sets, at = shingle_sets(data, offsets, k)
         sizes = np.diff(at)
@@ -116,7 +118,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, own = None, None
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", CHUNK):
             data, offsets = text_bytes(part["text"])
             sets, at = shingle_sets(data, offsets, k)
             heads, lots_, kinds, ids = (part[c].to_numpy() for c in ("head", "lot", "kind", "need"))
@@ -186,7 +188,7 @@ def _joined(key: tuple, table: pa.Table, percent: int, k: int) -> pa.Table:
     """Confirmed links that join components within the tile, at most one less than its members."""
     tile = _Tile(key, table, percent)
     sets: list[np.ndarray] = []
-    for part in chunks(table.select(["text"]).to_batches(), "text"):
+    for part in chunks(table.select(["text"]).to_batches(), "text", CHUNK):
         values, at = shingle_sets(*text_bytes(part["text"]), k)
         sets += [values[at[i]:at[i + 1]] for i in range(len(at) - 1)]
     head = {c: c for c in tile.comp.tolist()}
