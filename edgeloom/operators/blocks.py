@@ -30,12 +30,33 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
-def _scores(q: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
+def _scores(q: np.ndarray, items: np.ndarray, metric: str, threshold: np.ndarray | None = None) -> np.ndarray:
+    """Rounded scores from one matrix product.
+
+    With thresholds, every score within the product's error bound of its row's
+    threshold is computed anew, term by term as a column expression does, so a
+    pair compares to its own score as equal at any distance.
+    """
     product = q @ items.T
+    q_sq, i_sq = (q * q).sum(1)[:, None], (items * items).sum(1)[None, :]
+    unit = 4.0 * max(q.shape[1], 1) * np.finfo(np.float64).eps
     if metric == "l2":
-        sq = (q * q).sum(1)[:, None] + (items * items).sum(1)[None, :] - 2.0 * product
-        product = -np.sqrt(np.maximum(sq, 0.0))
-    return np.round(product, SCORE_DIGITS)
+        product = -np.sqrt(np.maximum(q_sq + i_sq - 2.0 * product, 0.0))
+    if threshold is None or not np.isfinite(threshold).any():
+        return np.round(product, SCORE_DIGITS)
+    if metric == "l2":
+        slack = unit * (q_sq + i_sq)
+        bound = np.minimum(np.sqrt(slack), slack / np.maximum(-product, 1e-300))
+    else:
+        bound = unit * np.sqrt(q_sq * i_sq)
+    rows, cols = np.nonzero(np.abs(product - threshold[:, None]) <= bound + 2 * 10.0 ** -SCORE_DIGITS)
+    out = np.round(product, SCORE_DIGITS)
+    for at in range(0, len(rows), 1 << 16):
+        i, j = rows[at:at + (1 << 16)], cols[at:at + (1 << 16)]
+        terms = (q[i] - items[j]) ** 2 if metric == "l2" else q[i] * items[j]
+        exact = np.add.accumulate(terms, axis=1)[:, -1]
+        out[i, j] = np.round(-np.sqrt(exact) if metric == "l2" else exact, SCORE_DIGITS)
+    return out
 
 
 def _block_counts(df: DataFrame, group: str, block: int, spread: int) -> dict[str, int]:
@@ -101,8 +122,8 @@ def score_blocks(queries: DataFrame, items: DataFrame, fold: Callable, schema: s
         if qt.num_rows == 0 or rt.num_rows == 0:
             return arrow_schema.empty_table()
         qid, iid = qt["qid"].to_numpy(), rt["iid"].to_numpy()
-        scores = _scores(_matrix(qt["qvec"]), _matrix(rt["ivec"]), metric)
         threshold = qt["threshold"].to_numpy()
+        scores = _scores(_matrix(qt["qvec"]), _matrix(rt["ivec"]), metric, threshold if qt["threshold"].null_count == 0 else None)
         group = key[0].as_py()
         names = views[group] if views else [group]
         parts = []
@@ -195,12 +216,39 @@ def summarise() -> tuple[Callable, str]:
     return fold, "grp string, qid bigint, n_pairs bigint, score_sum double, score_max double"
 
 
-def every_pair() -> tuple[Callable, str]:
-    """All pairs of a cell, for callers that write the whole matrix."""
+def _best(table: pa.Table, k: int) -> pa.Table:
+    order = pc.sort_indices(table, [("grp", "ascending"), ("score", "descending"), ("qid", "ascending"), ("iid", "ascending")])
+    table = table.take(order)
+    groups = table["grp"].combine_chunks().dictionary_encode().indices.to_numpy()
+    place = np.arange(len(groups)) - np.searchsorted(groups, groups)
+    return table.filter(pa.array(place < k))
 
-    def fold(grp, qid, iid, scores, _):
-        rows, cols = np.nonzero(np.isfinite(scores))
-        return {"grp": [grp] * len(rows), "qid": qid[rows], "iid": iid[cols],
-                "score": scores[rows, cols]}
 
-    return fold, "grp string, qid bigint, iid bigint, score double"
+def merge_best(cells: DataFrame, k: int) -> DataFrame:
+    """Best k rows of each group with their rank, from ``cells(grp, qid, iid, score)``.
+
+    Groups are a closed, short list. Each task keeps k rows a group as it reads,
+    first where the cells are, then over about the square root of as many tasks;
+    what meets in a group's last task is k rows from each of those.
+    """
+    schema = "grp string, qid bigint, iid bigint, score double"
+    arrow = _arrow_schema(schema)
+
+    def keep(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]).cast(arrow))
+            rows += batch.num_rows
+            if rows > 4 * k + 100_000:
+                held = [_best(pa.concat_tables(held), k)]
+                rows = 0
+        if held:
+            yield from _best(pa.concat_tables(held), k).combine_chunks().to_batches()
+
+    def last(table: pa.Table) -> pa.Table:
+        best = _best(table.cast(arrow), k)
+        return best.append_column("rank", pa.array(np.arange(1, best.num_rows + 1), pa.int64()))
+
+    tasks = max(1, round(parallelism(cells.sparkSession) ** 0.5))
+    kept = cells.mapInArrow(keep, schema).repartition(tasks, F.xxhash64("qid", "iid")).mapInArrow(keep, schema)
+    return kept.groupBy("grp").applyInArrow(last, schema + ", rank bigint")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import scalar as V
 from edgeloom.operators import blocks
-from edgeloom.operators.metrics import _pack, rank_among
+from edgeloom.operators.metrics import rank_among
 from edgeloom.operators.skew import spread_join
 from edgeloom.session import cut_lineage
 
@@ -102,47 +102,49 @@ def score_candidates(questions: DataFrame, entities: DataFrame, relations: DataF
     """Best k entities for each distinct question ``(known, r)``; ``side`` is the open end."""
     scorer = SCORERS[model]
     make = scorer.tail_query if side == "tail" else scorer.head_query
-    n_rel = relations.count()
-    full = spread_join(questions.select("known", "r").distinct(),
+    # The number is settled by the write and stands for the question, whatever its ids.
+    asked = cut_lineage(questions.select("known", "r").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    full = spread_join(asked,
                        entities.select(F.col("id").alias("known"), F.col("vec").alias("kv")), ["known"])
     full = full.join(relations.select(F.col("id").alias("r"), F.col("vec").alias("rv")), "r")
-    queries = full.select(F.lit("all").alias("grp"), (F.col("known") * n_rel + F.col("r")).alias("qid"),
+    queries = full.select(F.lit("all").alias("grp"), "qid",
                           make(F.col("kv"), F.col("rv")).alias("qvec"))
     items = entities.select(F.lit("all").alias("grp"), F.col("id").alias("iid"), F.col("vec").alias("ivec"))
     fold, schema = blocks.keep_top_per_query(k)
     cells = blocks.score_blocks(queries, items, fold, schema, metric=scorer.metric, block=block)
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "iid")
-    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        F.floor(F.col("qid") / n_rel).alias("known"), F.pmod("qid", F.lit(n_rel)).alias("r"),
-        F.col("iid").alias("candidate"), "score", F.col("rank").cast("bigint").alias("rank"))
+    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(asked, "qid").select(
+        "known", "r", F.col("iid").alias("candidate"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def filtered_ranks(test: DataFrame, true_triples: DataFrame, entities: DataFrame, relations: DataFrame,
                    model: str, block: int = blocks.BLOCK) -> DataFrame:
     """Head and tail ranks of test triples among all entities, other true triples removed."""
     scorer = SCORERS[model]
-    n_rel = relations.count()
 
     def rounded(triples, *extra):
         # Written once: both directions and all their steps read it.
         full = with_vectors(triples.select("h", "r", "t").distinct(), entities, relations)
-        score = F.round(scorer.score(F.col("hv"), F.col("rv"), F.col("tv")), blocks.SCORE_DIGITS)
-        return cut_lineage(full.select("h", "r", "t", score.alias("score"), *extra))
+        # Each side is compared with candidates by its own query, so its threshold comes from that query too.
+        tail = scorer.score(F.col("hv"), F.col("rv"), F.col("tv"))
+        back = scorer.head_query(F.col("tv"), F.col("rv"))
+        head = V.dot(back, F.col("hv")) if scorer.metric == "dot" else -V.norm(V.subtract(back, F.col("hv")))
+        return cut_lineage(full.select("h", "r", "t", F.round(tail, blocks.SCORE_DIGITS).alias("tail_score"),
+                                       F.round(head, blocks.SCORE_DIGITS).alias("head_score"),
+                                       F.monotonically_increasing_id().alias("qid"), *extra))
 
     rows = rounded(test, scorer.tail_query(F.col("hv"), F.col("rv")).alias("tail_query"),
                    scorer.head_query(F.col("tv"), F.col("rv")).alias("head_query"))
-    known = (rows if test is true_triples else rounded(true_triples)).select("h", "r", "t", "score")
+    known = (rows if test is true_triples else rounded(true_triples)).select("h", "r", "t", "tail_score", "head_score")
     items = entities.select(F.lit("all").alias("grp"), F.col("id").alias("iid"), F.col("vec").alias("ivec"))
-    out = rows.select("h", "r", "t")
+    out = rows.select("h", "r", "t", "qid")
     for side, own, other in (("tail", "h", "t"), ("head", "t", "h")):
         queries = rows.select(F.lit("all").alias("grp"),
-                              _pack(F.col(own) * n_rel + F.col("r"), F.col(other)).alias("qid"),
-                              F.col(f"{side}_query").alias("qvec"), F.col("score").alias("threshold"), own, "r")
-        ranks = rank_among(queries, items, known.withColumn("kid", F.col(other)), [own, "r"],
-                           scorer.metric, block)
-        out = out.join(ranks.select(own, "r", F.col("qid").bitwiseAND(F.lit((1 << 32) - 1)).alias(other),
-                                    F.col("rank").alias(f"{side}_rank")), ["h", "r", "t"])
-    return out
+                              "qid", F.col(f"{side}_query").alias("qvec"), F.col(f"{side}_score").alias("threshold"), own, "r")
+        marked = known.select("h", "r", "t", F.col(other).alias("kid"), F.col(f"{side}_score").alias("score"))
+        ranks = rank_among(queries, items, marked, [own, "r"], scorer.metric, block)
+        out = out.join(ranks.select("qid", F.col("rank").alias(f"{side}_rank")), "qid")
+    return out.drop("qid")
 
 
 def corrupt_tails(triples: DataFrame, n_entities: int, k: int = 1, seed: int = 42) -> DataFrame:

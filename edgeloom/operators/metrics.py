@@ -67,16 +67,12 @@ def hits_per_row(pos: DataFrame, neg: DataFrame, ks: Sequence[int]) -> DataFrame
         F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in ks])
 
 
-def _pack(high: Column, low: Column) -> Column:
-    """One id from two: both below 2^31."""
-    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
-
-
 def rank_among(eval_rows: DataFrame, items: DataFrame, known: DataFrame, keys: Sequence[str],
                metric: str = "dot", block: int = blocks.BLOCK) -> DataFrame:
     """1 + items scoring above the threshold that are not known for the row's keys.
 
-    ``eval_rows(grp, qid, qvec, threshold, *keys)``; ``known(*keys, score)``. The
+    ``eval_rows(grp, qid, qvec, threshold, *keys)`` with a ``qid`` of its own for each
+    row; ``known(*keys, kid, score)``. The
     total over all items comes from block counts. Known ones are subtracted by a
     running count in score order, so a frequent key costs no pair blow-up.
     """
@@ -99,27 +95,26 @@ def filtered_ranks(eval_pairs: DataFrame, true_pairs: DataFrame, vectors: DataFr
     """Head and tail rank of each eval pair among typed candidates, other true pairs removed."""
     def scored(pairs: DataFrame) -> DataFrame:
         # Written once: both directions and all their steps read it.
+        # The row number is settled by the write and stands for the pair, whatever its ids.
         return cut_lineage(score_edges(pairs.select(*SCORED_PAIR).distinct(), vectors).select(
-            *SCORED_PAIR, F.round("score", blocks.SCORE_DIGITS).alias("score")))
+            *SCORED_PAIR, F.round("score", blocks.SCORE_DIGITS).alias("score"), F.monotonically_increasing_id().alias("qid")))
 
     known = scored(true_pairs)
     rows = known if eval_pairs is true_pairs else scored(eval_pairs)
-    out = rows.select(*SCORED_PAIR)
+    out = rows.select(*SCORED_PAIR, "qid")
     pair_type = F.concat_ws("__", "src_type", "dst_type")
     for side, own, other in (("tail", "src", "dst"), ("head", "dst", "src")):
         keys = [*EDGE_TYPE, own]
         own_vecs = vectors.select(F.col("node_type").alias(f"{own}_type"), F.col("idx").alias(own),
                                   F.col("vec").alias("qvec"))
         queries = rows.join(own_vecs, [f"{own}_type", own]).select(
-            pair_type.alias("grp"), _pack(F.col(own), F.col(other)).alias("qid"), "qvec",
+            pair_type.alias("grp"), "qid", "qvec",
             F.col("score").alias("threshold"), *keys)
         pairs = rows.select(F.col(f"{other}_type").alias("node_type"), pair_type.alias("grp")).distinct()
         items = vectors.join(pairs, "node_type").select("grp", F.col("idx").alias("iid"), F.col("vec").alias("ivec"))
         ranks = rank_among(queries, items, known.withColumn("kid", F.col(other)), keys, block=block)
-        ranks = ranks.select(*keys, (F.col("qid").bitwiseAND(F.lit((1 << 32) - 1))).alias(other),
-                             F.col("rank").alias(f"{side}_rank"))
-        out = out.join(ranks, SCORED_PAIR)
-    return out
+        out = out.join(ranks.select("qid", F.col("rank").alias(f"{side}_rank")), "qid")
+    return out.drop("qid")
 
 
 def filtered_report(ranks: DataFrame, by: str = "relation") -> DataFrame:

@@ -71,20 +71,20 @@ def mask_known(t):
 TOP_SQL = f"""
     SELECT * FROM (SELECT src_type, rel, 'Disease' AS dst_type, src, dst, src_name, dst_name, sc,
         row_number() OVER (PARTITION BY src_type, rel ORDER BY sc DESC, src, dst) AS rank
-        FROM ({OPEN_SQL})) WHERE rank <= 200"""
+        FROM ({OPEN_SQL})) WHERE rank <= 2000"""
 
 
 @query("T1_top_pairs_per_edge_type", f"""
     SELECT src_type, rel, dst_type, src, dst, sc AS score, rank FROM ({TOP_SQL})""")
 def top_pairs(t):
-    return S.top_pairs(t.vectors, ranked_types(), t.known, 200)
+    return S.top_pairs(t.vectors, ranked_types(), t.known, 2000)
 
 
 @query("T2_global_top_pairs", f"""
     SELECT src_type, rel, dst_type, src, dst, sc AS score FROM ({TOP_SQL})
-    ORDER BY sc DESC, src_type, rel, src, dst LIMIT 200""")
+    ORDER BY sc DESC, src_type, rel, src, dst LIMIT 2000""")
 def global_top(t):
-    return S.merge_top(S.top_pairs(t.vectors, ranked_types(), t.known, 200).drop("rank"), 200)
+    return S.merge_top(S.top_pairs(t.vectors, ranked_types(), t.known, 2000).drop("rank"), 2000)
 
 
 @query("T3_target_type_filter", """
@@ -103,11 +103,11 @@ RANKED_SQL = f"""
                  WHEN contains(lower(trim(src_name)), 'form 3') THEN 'FORM THREE'
                  WHEN contains(lower(trim(src_name)), 'entity-2') THEN 'ENTITY TWO'
                  ELSE src_name END AS canonical
-            FROM (SELECT * FROM ({TOP_SQL}) ORDER BY sc DESC, src_type, rel, src, dst LIMIT 200))) WHERE rn = 1"""
+            FROM (SELECT * FROM ({TOP_SQL}) ORDER BY sc DESC, src_type, rel, src, dst LIMIT 2000))) WHERE rn = 1"""
 
 
 def ranked_targets(t):
-    return rank_targets(t.vectors, t.known, EDGE_TYPES, top_k=200, forms=FORMS)
+    return rank_targets(t.vectors, t.known, EDGE_TYPES, top_k=2000, forms=FORMS)
 
 
 @query("G10_global_ranking", f"""

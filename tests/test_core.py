@@ -21,7 +21,7 @@ def test_parse_date(spark):
 def test_cosine_decay():
     assert V.cosine_decay(0, 100) == 1.0
     assert abs(V.cosine_decay(50, 100) - 0.5) < 1e-12
-    assert V.cosine_decay(100, 100) == 0.0
+    assert abs(V.cosine_decay(100, 100)) < 1e-12 and V.cosine_decay(0, 0) == 1.0 and abs(V.cosine_decay(3, 0)) < 1e-12
     values = [V.cosine_decay(i, 20) for i in range(21)]
     assert values == sorted(values, reverse=True)
 
@@ -87,7 +87,7 @@ def test_blocks_distance(spark):
     q, items = rng.normal(size=(5, 4)), rng.normal(size=(9, 4))
     queries = spark.createDataFrame([("g", i, q[i].tolist()) for i in range(5)], "grp string, qid long, qvec array<double>")
     things = spark.createDataFrame([("g", i, items[i].tolist()) for i in range(9)], "grp string, iid long, ivec array<double>")
-    fold, schema = blocks.every_pair()
+    fold, schema = blocks.keep_top_per_query(9)
     got = {(r.qid, r.iid): r.score for r in blocks.score_blocks(queries, things, fold, schema, metric="l2", block=3).collect()}
     for i in range(5):
         for j in range(9):
@@ -99,3 +99,15 @@ def test_layer_norm_and_scale(spark):
         V.layer_norm(F.col("v")).alias("n"), V.scale(F.col("v"), F.lit(2.0)).alias("s")).first()
     x = np.array([1.0, 2, 3, 4])
     assert np.allclose(row.n, (x - x.mean()) / np.sqrt(x.var() + 1e-5)) and row.s == [2.0, 4.0, 6.0, 8.0]
+
+
+def test_best_rows_are_merged_without_a_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"g{i % 3}", int(i), int(i * 7 % 11), float(s)) for i, s in enumerate(rng.integers(0, 40, 3000))]
+    cells = spark.createDataFrame(rows, "grp string, qid long, iid long, score double").repartition(9)
+    merged = blocks.merge_best(cells, 50)
+    assert "Window" not in merged._jdf.queryExecution().toString()
+    got = {(r.grp, r["rank"]): (r.qid, r.iid) for r in merged.collect()}
+    for g in ("g0", "g1", "g2"):
+        best = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1], r[2]))[:50]
+        assert [got[g, i + 1] for i in range(50)] == [(r[1], r[2]) for r in best]

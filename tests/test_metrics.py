@@ -107,3 +107,37 @@ def test_baseline_plan(spark):
                         ["distmult"], dim=4, epochs=1)
     rows = {r.relation: r for r in out.collect()}
     assert rows["ALL"].n_triples == 2 and rows["ALL"].model == "distmult" and 0 < rows["ALL"].mrr <= 1
+
+
+def test_filtered_ranks_of_ids_above_32_bits(spark):
+    rng = np.random.default_rng(8)
+    ids = [1, 2, (1 << 32) + 1, (1 << 40) + 5, 9, (1 << 32) + 9]
+    vecs = {i: rng.normal(size=4) for i in ids}
+    vectors = spark.createDataFrame([(k, i, v.tolist()) for k in ("Gene", "Disease") for i, v in vecs.items()],
+                                    "node_type string, idx long, vec array<double>")
+    true = {(1, 9), (1, (1 << 32) + 9), ((1 << 32) + 1, 9), ((1 << 40) + 5, 2)}
+    pairs = spark.createDataFrame([("Gene", "A", "Disease", h, t) for h, t in true], "src_type string, rel string, dst_type string, src long, dst long")
+    rows = M.filtered_ranks(pairs, pairs, vectors, block=2).collect()
+    score = {(h, t): vecs[h] @ vecs[t] for h in ids for t in ids}
+    assert {(r.src, r.dst): (r.tail_rank, r.head_rank) for r in rows} == {
+        (h, t): (1 + sum(score[h, x] > score[h, t] for x in ids if (h, x) not in true),
+                 1 + sum(score[x, t] > score[h, t] for x in ids if (x, t) not in true)) for h, t in true}
+    triples = spark.createDataFrame([(h, 0, t) for h, t in true], "h long, r long, t long")
+    entities = spark.createDataFrame([(i, v.tolist()) for i, v in vecs.items()], "id long, vec array<double>")
+    relation = spark.createDataFrame([(0, [1.0] * 4)], "id long, vec array<double>")
+    rows = K.filtered_ranks(triples, triples, entities, relation, "distmult", block=2).collect()
+    assert {(r.h, r.t): r.tail_rank for r in rows} == {
+        (h, t): 1 + sum(score[h, x] > score[h, t] for x in ids if (h, x) not in true) for h, t in true}
+
+
+def test_true_triples_never_outrank_themselves(spark):
+    rng = np.random.default_rng(9)
+    for size, gap in ((200.0, 1e-5), (2.0, 1e-10)):
+        heads = rng.normal(size=(20, 8)) * size
+        tails = heads + 1.0 + rng.normal(size=(20, 8)) * gap
+        rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([heads, tails]))]
+        entities = spark.createDataFrame(rows, "id long, vec array<double>")
+        relation = spark.createDataFrame([(0, [1.0] * 8)], "id long, vec array<double>")
+        triples = spark.createDataFrame([(i, 0, 20 + i) for i in range(20)], "h long, r long, t long")
+        ranks = K.filtered_ranks(triples, triples, entities, relation, "transe").collect()
+        assert {(r.tail_rank, r.head_rank) for r in ranks} == {(1, 1)}
