@@ -63,17 +63,6 @@ FIBROSIS_AXIS_PATTERN = (
 )
 PATHWAY_AXES = ("TLR4/Inflammation", "TGFB/Fibrosis")
 
-# Edge types scored for the global ranking.
-RANKED_EDGE_TYPES = [
-    ("Gene", "ASSOCIATED_WITH", "Disease"),
-    ("Gene", "PROMOTES", "Disease"),
-    ("Gene", "INHIBITS", "Disease"),
-    ("Gene", "CONTRIBUTES_TO", "Disease"),
-    ("Gene", "PROTECTS", "Disease"),
-    ("Protein", "ASSOCIATED_WITH", "Disease"),
-    ("Protein", "CONTRIBUTES_TO", "Disease"),
-]
-
 # Relation name -> attention temperature, later rows win; others 1.0.
 TEMPERATURES = [
     ("REGULATES", 0.5), ("ACTIVATES", 0.5), ("BINDS_TO", 0.5), ("INHIBITS", 0.5),
@@ -92,17 +81,6 @@ HUB_NAMES = ["Thrombin", "Thrombosis", "Inflammation", "F2", "VTE"]
 TEMPORAL_WINDOWS = dict(train_end="2024-12-31", val_start="2025-01-01", val_end="2025-06-30",
                         test_start="2025-07-01", test_end="2026-06-30")
 
-# Prior pairs (source, target, multiplier) of (Gene, REGULATES, Gene).
-PRIOR_PAIRS = [
-    ("FUT8", "Lgals3", 5.0), ("Lgals3", "CD44", 4.0), ("Lgals3", "ITGB1", 4.0),
-    ("F11", "F2", 3.5), ("KNG1", "F11", 3.0), ("LRP4", "F2", 3.0),
-]
-
-# Anchors for alignment, and falsified targets.
-POSITIVE_ANCHORS = ["FUT8", "Lgals3", "CD44", "ITGB1", "F11", "KNG1", "F2", "LRP4"]
-PATHWAY_ANCHORS = ["TNF", "TLR4", "MAPK1", "MAPK3", "NFKB1", "RELA"]
-FALSIFIED_TARGETS = ["Padi4", "Hmgb1"]
-
 # Gene programs of the expression maps.
 GENE_PROGRAMS = {
     "Inflammation Axis": ["Tlr4", "Nfkb1", "Rela", "Stat3", "Spp1", "Tnf", "Il6", "Ccl2", "Sell"],

@@ -158,10 +158,9 @@ def leave_one_out(members: DataFrame, n_genes: int) -> DataFrame:
         extreme(F.col("s")["hi"], F.col("s")["lo"]).alias("es"))
 
 
-def remaining_genes(sets: DataFrame, max_size: int = 500) -> DataFrame:
-    """Genes left in a set when each one is removed, as arrays (sets within ``max_size``)."""
-    sizes = sets.groupBy(SET).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_size)
-    rows = sets.join(sizes.select(SET), SET, "left_semi").groupBy(SET).agg(
+def remaining_genes(sets: DataFrame) -> DataFrame:
+    """Genes left in a set when each one is removed, as arrays."""
+    rows = sets.groupBy(SET).agg(
         F.array_sort(F.collect_list("gene")).alias("genes"))
     return rows.select(SET, F.explode("genes").alias("removed"), "genes").select(
         SET, "removed", F.array_remove("genes", F.col("removed")).alias("genes"))

@@ -162,7 +162,7 @@ def universe(t):
 
 
 @query("U5_leave_one_out_sets", """
-    WITH s AS (SELECT set_name, list_sort(list(gene)) AS genes FROM g_gene_sets GROUP BY set_name HAVING COUNT(*) <= 500),
+    WITH s AS (SELECT set_name, list_sort(list(gene)) AS genes FROM g_gene_sets GROUP BY set_name),
     r AS (SELECT set_name, unnest(genes) AS removed, genes FROM s)
     SELECT set_name, removed, len(genes) - 1 AS n_left,
            md5(array_to_string(list_filter(genes, lambda g: g <> removed), ',')) AS digest FROM r""")
