@@ -8,10 +8,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.session import cut_lineage
+
 HOT_ROWS = 1_000_000
+SMALL_ROWS = 1_000_000
 SPLIT_BYTES = 16 * 1024 ** 3
 
 
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame, written once, and marked for a broadcast join if it is counted to be small.
+
+    Beyond the bound the join shuffles; the result is the same.
+    """
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables a plan reads, from the optimizer's statistics."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

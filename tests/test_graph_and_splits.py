@@ -174,3 +174,25 @@ def test_dataset_plan(spark):
     assert report.train_edges + report.test_edges == built.edges.count() and report.test_edges > 0
     assert built.negatives.count() == report.train_edges
     assert N.audit(built.negatives, built.edges.where("split = 'train'")).first().n_positive == 0
+
+
+def test_sources_keep_their_share_when_most_destinations_are_taken(spark):
+    # Source 0 has 38 of 40 destinations, sources 1..19 one each: source 0 owns 39 of 77 slots.
+    rows = [("A", "r", "B", 0, d) for d in range(38)] + [("A", "r", "B", s, s) for s in range(1, 20)]
+    edges = spark.createDataFrame(rows, "src_type string, rel string, dst_type string, src long, dst long")
+    nodes = spark.createDataFrame([("A", i) for i in range(20)] + [("B", i) for i in range(40)], "node_type string, idx long")
+    first = [N.degree_preserving(edges.where(f"src = 0 or src = {s}"), nodes.where(f"node_type = 'B' or idx in (0, {s})"), 1, seed=s).collect()
+             for s in (3, 7)]
+    for drawn in first:
+        taken = {(r.src, r.dst) for r in drawn}
+        assert len(taken) == 39 and not taken & {(r[3], r[4]) for r in rows if r[3] == 0}
+        assert sum(s == 0 for s, _ in taken) == 2  # both of its free pairs
+
+
+def test_every_free_pair_is_returned_when_all_are_wanted(spark):
+    rows = [("A", "r", "B", i, i) for i in range(6)]
+    edges = spark.createDataFrame(rows, "src_type string, rel string, dst_type string, src long, dst long")
+    nodes = spark.createDataFrame([(k, i) for k in "AB" for i in range(6)], "node_type string, idx long")
+    for n, want in ((2, 12), (5, 30), (9, 30)):
+        got = {(r.src, r.dst) for r in N.degree_preserving(edges, nodes, n).collect()}
+        assert len(got) == want and all(a != b for a, b in got)
