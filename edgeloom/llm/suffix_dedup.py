@@ -38,7 +38,7 @@ from edgeloom.llm.columns import bounded_broadcast, chunks
 from edgeloom.session import cut_lineage, parallelism
 
 LENGTH, GRAM = 400, 64
-LOT, WIDEST = 2 << 20, 8 << 20
+LOT, WIDEST = 1 << 20, 3 << 20
 SYMBOLS = 7  # of nine bits, in one word
 
 
@@ -274,7 +274,6 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(whole.cast("binary"))).alias("key"), whole.alias("text"))
     spans = cut_lineage(repeated_spans(rows.select("key", "text"), length, gram))
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 1_000_000
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     if keep_text:
@@ -307,4 +306,4 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
             columns = [part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_text, schema=schema)
 
-    return rows.join(F.broadcast(spans) if few else spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, ddl)
+    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, ddl)
