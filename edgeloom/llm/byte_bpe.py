@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytestrings import PrefixHash, ragged, text_bytes
-from edgeloom.llm.columns import chunks
+from edgeloom.llm.columns import chunks, resident
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Words a worker keeps encoded, and bytes of text handled at a time.
-KEPT_WORDS = 1_500_000
-PIECE = 2 << 20
+KEPT_WORDS = 600_000
+PIECE = 1 << 20
 #: Bytes of text whose distinct words are replayed together.
-LOT = 32 << 20
+LOT = 16 << 20
 
 
 @lru_cache(1)
@@ -293,9 +293,8 @@ class Encoder:
         return self.vocabulary.decimal_bytes[ragged(self.vocabulary.decimal_at[ids], sizes)], sizes
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(Vocabulary(path))
+    return resident(f"encoder {path}", lambda: Encoder(Vocabulary(path)))
 
 
 def digests(coder: Encoder, ids: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[str], list[bool]]:
@@ -330,7 +329,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for lot in chunks(batches, "text", LOT):
-            parts = list(chunks(lot.to_batches(), "text", PIECE))
+            parts = list(chunks(lot.to_batches(), "text", PIECE, tidy=False))
             pieces = [cut_words(*text_bytes(part["text"])) for part in parts]
             coder.learn(pieces)
             for part, piece in zip(parts, pieces):

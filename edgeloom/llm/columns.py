@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of a few numbers each that a join may broadcast, some tens of MB.
 BROADCAST_ROWS = 1_000_000
 
 
+_RESIDENT: dict[str, Any] = {}
+
+
+def resident(key: str, build: Callable[[], Any]) -> Any:
+    """The model that a worker holds between tasks. It holds one: another takes its place."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        release()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Returns the memory that a finished task no longer uses to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -23,8 +47,11 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """Cuts Arrow batches into tables of at most ``limit`` bytes of text, or one row."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, tidy: bool = True) -> Iterator[pa.Table]:
+    """Cuts Arrow batches into tables of at most ``limit`` bytes of text, or one row.
+
+    With ``tidy`` memory is released when the last has been handled.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,6 +63,8 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
                 start, total = i, 0
             total += int(size)
         yield pa.Table.from_batches([batch.slice(start)])
+    if tidy:
+        release()
 
 
 def bounded_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

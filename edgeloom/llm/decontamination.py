@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.byte_bpe import NUMBER, character_kinds
 from edgeloom.llm.bytestrings import text_bytes
-from edgeloom.llm.columns import bounded_broadcast, chunks
+from edgeloom.llm.columns import bounded_broadcast, chunks, resident
 from edgeloom.session import cut_lineage
 
 RATE = 0.08
@@ -195,14 +195,8 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-_SEARCHER: dict[str, Searcher] = {}
-
-
 def _searcher(key: str, items: list[tuple[int, str]], rate: float) -> Searcher:
-    if key not in _SEARCHER:
-        _SEARCHER.clear()
-        _SEARCHER[key] = Searcher(items, rate)
-    return _SEARCHER[key]
+    return resident(f"searcher {key}", lambda: Searcher(items, rate))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -222,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_
 
         def run(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
             own = _searcher(key, held, rate)
-            for part in chunks(batches, "text", 1 << 21):
+            for part in chunks(batches, "text", 1 << 20):
                 data, offsets = text_bytes(part["text"])
                 raw = data.tobytes()
                 texts = [raw[offsets[i]:offsets[i + 1]].decode("utf-8", "replace") for i in range(len(offsets) - 1)]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.byte_bpe import LETTER, character_kinds
 from edgeloom.llm.bytestrings import text_bytes
-from edgeloom.llm.columns import chunks
+from edgeloom.llm.columns import chunks, release, resident
 
 BLOCK = 256
 EXCERPT = 4000
@@ -188,14 +188,8 @@ class Parser:
         return out
 
 
-_PARSER: dict[str, Parser] = {}
-
-
 def parser(model: Model, key: str) -> Parser:
-    if key not in _PARSER:
-        _PARSER.clear()
-        _PARSER[key] = Parser(model)
-    return _PARSER[key]
+    return resident(f"parser {key}", lambda: Parser(model))
 
 
 def _identified(part: pa.Table, own: Parser | None, model: Model) -> list[pa.Array]:
@@ -236,7 +230,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(model, key) if model.languages else None
-        for part in chunks(batches, "text", 1 << 21):
+        for part in chunks(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays(_identified(part, own, model), schema=SCHEMA)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DDL)
@@ -255,10 +249,11 @@ def keep_identified(docs: DataFrame, model: Model, least_phrase: float = LEAST_P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(model, key) if model.languages else None
         for batch in batches:
-            for part in chunks([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])], f"c{at}", 1 << 21):
+            for part in chunks([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])], f"c{at}", 1 << 20, tidy=False):
                 view = pa.table({"doc_id": pa.nulls(part.num_rows, pa.int64()), "text": part[f"c{at}"]})
                 _, lang, _, chars = _identified(view, own, model)
                 keep = pa.compute.and_(pa.compute.not_equal(lang, UNKNOWN), pa.compute.greater_equal(chars, least_phrase))
                 yield from part.filter(keep).rename_columns(batch.schema.names).to_batches()
+        release()
 
     return docs.mapInArrow(run, docs.schema)

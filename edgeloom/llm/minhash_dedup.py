@@ -188,7 +188,7 @@ def _joined(key: tuple, table: pa.Table, percent: int, k: int) -> pa.Table:
     """Confirmed links that join components within the tile, at most one less than its members."""
     tile = _Tile(key, table, percent)
     sets: list[np.ndarray] = []
-    for part in chunks(table.select(["text"]).to_batches(), "text", CHUNK):
+    for part in chunks(table.select(["text"]).to_batches(), "text", CHUNK, tidy=False):
         values, at = shingle_sets(*text_bytes(part["text"]), k)
         sets += [values[at[i]:at[i + 1]] for i in range(len(at) - 1)]
     head = {c: c for c in tile.comp.tolist()}

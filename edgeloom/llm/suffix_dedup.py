@@ -201,7 +201,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``(key, spans)`` of texts with repeated strings, from ``docs(key, text)``; spans may overlap."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text", 1 << 21):
+        for part in chunks(batches, "text", 1 << 20):
             data, offsets = text_bytes(part["text"])
             text, begin, end, grams, digests = segments(data, offsets, length, gram)
             at = np.searchsorted(text, np.arange(len(offsets)))
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     wanted = F.broadcast(wanted) if classes.count() <= 1_000_000 else wanted
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text", 1 << 21):
+        for part in chunks(batches, "text", 1 << 20):
             data, offsets = text_bytes(part["text"])
             listed = part["wanted"].combine_chunks()
             counts = np.diff(listed.offsets.to_numpy())

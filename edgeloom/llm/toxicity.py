@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.byte_bpe import NUMBER, character_kinds
 from edgeloom.llm.bytestrings import text_bytes
-from edgeloom.llm.columns import chunks
+from edgeloom.llm.columns import chunks, resident
 from edgeloom.session import cut_lineage
 
 TERMS = 300
@@ -177,14 +177,8 @@ def _is_quoted(text: str, start: int, end: int) -> bool:
     return any(w.strip(".,;:!?()'") in REPORTING for w in near)
 
 
-_AUTOMATON: dict[str, Automaton] = {}
-
-
 def _automaton(lexicon: Lexicon, key: str) -> Automaton:
-    if key not in _AUTOMATON:
-        _AUTOMATON.clear()
-        _AUTOMATON[key] = Automaton(lexicon)
-    return _AUTOMATON[key]
+    return resident(f"automaton {key}", lambda: Automaton(lexicon))
 
 
 class Hits:
@@ -234,7 +228,7 @@ def near_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _automaton(lexicon, key)
-        for part in chunks(batches, "text", 1 << 21):
+        for part in chunks(batches, "text", 1 << 20):
             hits = Hits(part, own)
             ids = part["doc_id"].to_numpy()
             pairs = sorted({(int(ids[d]), t) for d, t, e in zip(hits.doc.tolist(), hits.term.tolist(), hits.edits.tolist()) if e})
@@ -249,7 +243,7 @@ def evidence(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _automaton(lexicon, key)
-        for part in chunks(batches, "text", 1 << 21):
+        for part in chunks(batches, "text", 1 << 20):
             yield _measured(part, own, lexicon)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DDL)
