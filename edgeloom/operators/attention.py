@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -70,11 +71,19 @@ def mean_attention(weights: DataFrame) -> DataFrame:
 
 def attention_layer(nodes: DataFrame, weights: DataFrame, values: DataFrame, *, heads: int, dim: int,
                     value_side: str = "dst") -> DataFrame:
-    """Residual + LayerNorm of attention-weighted values, summed over edge types.
+    """Residual + LayerNorm of attention-weighted values, summed over edge types."""
+    message = attention_messages(nodes, weights, values, heads=heads, dim=dim, value_side=value_side)
+    return nodes.join(message, ["node_type", "idx"]).select(
+        "node_type", "idx", V.layer_norm(V.add(F.col("vec"), F.col("message"))).alias("vec"))
+
+
+def attention_messages(nodes: DataFrame, weights: DataFrame, values: DataFrame, *, heads: int, dim: int,
+                       value_side: str = "dst") -> DataFrame:
+    """``(node_type, idx, message)``: attention-weighted values of each node, summed over edge types.
 
     With ``value_side='dst'`` every message carries the receiver's own value, so
     only weights are summed per receiver and the value is applied once. Nodes
-    without messages keep their residual.
+    without messages get zeros.
     """
     width = dim // heads
     if value_side == "dst":
@@ -91,7 +100,7 @@ def attention_layer(nodes: DataFrame, weights: DataFrame, values: DataFrame, *,
         sums = rows.groupBy("node_type", "idx").agg(V.vector_sum("_m", dim).alias("_m"))
         joined = nodes.join(sums, ["node_type", "idx"], "left")
         message = F.coalesce("_m", V.zeros(dim))
-    return joined.select("node_type", "idx", V.layer_norm(V.add(F.col("vec"), message)).alias("vec"))
+    return joined.select("node_type", "idx", message.alias("message"))
 
 
 def relational_mean(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
@@ -108,21 +117,75 @@ def relational_mean(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
         "node_type", "idx", F.transform(F.coalesce("_m", "vec"), lambda x: F.greatest(x, F.lit(0.0))).alias("vec"))
 
 
-def typed_projection(nodes: DataFrame, weights: dict[str, np.ndarray], bias: dict[str, np.ndarray] | None = None,
-                     eps: float = 1e-5) -> DataFrame:
-    """LayerNorm(x W_type + b_type) per node. Weights are model parameters, a few matrices."""
-    matrices = {k: np.asarray(w, dtype=np.float64) for k, w in weights.items()}
-    shifts = {k: np.asarray(b, dtype=np.float64) for k, b in (bias or {}).items()}
+@dataclass(frozen=True)
+class Linear:
+    """One matrix and shift for all node types, or one of each per type."""
+
+    weight: np.ndarray | dict[str, np.ndarray]
+    bias: np.ndarray | dict[str, np.ndarray] | float = 0.0
+
+    def at(self, kind: str, x: np.ndarray) -> np.ndarray | None:
+        """``x W + b`` for rows of a type; none if the type has no matrix."""
+        weight = self.weight.get(kind) if isinstance(self.weight, dict) else self.weight
+        if weight is None:
+            return None
+        bias = self.bias.get(kind, 0.0) if isinstance(self.bias, dict) else self.bias
+        return x @ np.asarray(weight, dtype=np.float64) + bias
+
+
+@dataclass(frozen=True)
+class Norm:
+    """Gain and shift of a LayerNorm."""
+
+    gain: np.ndarray | float = 1.0
+    shift: np.ndarray | float = 0.0
+    eps: float = 1e-5
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        mean, var = x.mean(1, keepdims=True), x.var(1, keepdims=True)
+        return (x - mean) / np.sqrt(var + self.eps) * self.gain + self.shift
+
+
+NODE_VEC = "node_type string, idx bigint, vec array<double>"
+
+
+def _by_type(rows: DataFrame, apply: Callable) -> DataFrame:
+    """``apply(type, frame)`` on each task's rows of one type, as vectors; none leaves the type out."""
 
-    def project(frames):
+    def run(frames):
         for pdf in frames:
             for kind, part in pdf.groupby("node_type"):
-                if kind not in matrices:
-                    continue
-                x = np.array(part["vec"].tolist(), dtype=np.float64) @ matrices[kind] + shifts.get(kind, 0.0)
-                mean, var = x.mean(1, keepdims=True), x.var(1, keepdims=True)
-                yield pd.DataFrame({"node_type": kind, "idx": part["idx"].values,
-                                    "vec": list((x - mean) / np.sqrt(var + eps))})
-
-    return nodes.select("node_type", "idx", V.as_double(F.col("vec")).alias("vec")).mapInPandas(
-        project, "node_type string, idx bigint, vec array<double>")
+                out = apply(kind, part)
+                if out is not None:
+                    yield pd.DataFrame({"node_type": kind, "idx": part["idx"].values, "vec": list(out)})
+
+    return rows.mapInPandas(run, NODE_VEC)
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64)
+
+
+def linear(nodes: DataFrame, layer: Linear) -> DataFrame:
+    """``x W_type + b_type`` per node. Weights are model parameters, a few matrices."""
+    rows = nodes.select("node_type", "idx", V.as_double(F.col("vec")).alias("vec"))
+    return _by_type(rows, lambda kind, part: layer.at(kind, _stack(part["vec"])))
+
+
+def typed_projection(nodes: DataFrame, weights: dict[str, np.ndarray], bias: dict[str, np.ndarray] | None = None,
+                     eps: float = 1e-5, norm: dict[str, Norm] | None = None) -> DataFrame:
+    """LayerNorm(x W_type + b_type) per node, with the gain and shift of its type if given."""
+    layer, norms = Linear(weights, bias or {}), norm or {}
+
+    def project(kind, part):
+        x = layer.at(kind, _stack(part["vec"]))
+        return None if x is None else norms.get(kind, Norm(eps=eps)).at(x)
+
+    return _by_type(nodes.select("node_type", "idx", V.as_double(F.col("vec")).alias("vec")), project)
+
+
+def residual_update(nodes: DataFrame, messages: DataFrame, skip: Linear, out: Linear, norm: Norm) -> DataFrame:
+    """LayerNorm(skip(x) + out(message)) per node."""
+    rows = nodes.join(messages, ["node_type", "idx"]).select(
+        "node_type", "idx", V.as_double(F.col("vec")).alias("vec"), "message")
+    return _by_type(rows, lambda kind, part: norm.at(skip.at(kind, _stack(part["vec"])) + out.at(kind, _stack(part["message"]))))

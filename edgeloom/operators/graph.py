@@ -94,13 +94,17 @@ def reindex_edges(edges: DataFrame, ids: DataFrame, id_col: str = "local_idx",
         return ids.select(F.col("node_type").alias(f"{end}_type"), F.col("node_id").alias(end),
                           F.col(id_col).alias(f"{end}_idx"))
 
-    mapped = spread_join(edges, side("src"), ["src_type", "src"], "left")
-    mapped = spread_join(mapped, side("dst"), ["dst_type", "dst"], "left")
-    dangling = F.col("src_idx").isNull() | F.col("dst_idx").isNull()
     if on_dangling == "drop_relation":
-        broken = mapped.groupBy(*EDGE_TYPE).agg(F.max(dangling.cast("int")).alias("_bad")).where("_bad = 1")
-        mapped = mapped.join(broken.select(*EDGE_TYPE), EDGE_TYPE, "left_anti")
-    return mapped.where(~dangling).select(*edges.columns, "src_idx", "dst_idx")
+        # Ends are few beside edges: those without a node are found once a type and end.
+        known = ids.select("node_type", F.col("node_id").alias("end"))
+        ends = edges.select(*EDGE_TYPE, F.explode(F.array(
+            F.struct(F.col("src_type").alias("node_type"), F.col("src").alias("end")),
+            F.struct(F.col("dst_type").alias("node_type"), F.col("dst").alias("end")))).alias("e")).select(*EDGE_TYPE, "e.*").distinct()
+        broken = ends.join(known, ["node_type", "end"], "left_anti").select(*EDGE_TYPE).distinct()
+        # One row per edge type at most.
+        edges = edges.join(F.broadcast(broken), EDGE_TYPE, "left_anti")
+    mapped = spread_join(edges, side("src"), ["src_type", "src"])
+    return spread_join(mapped, side("dst"), ["dst_type", "dst"]).select(*edges.columns, "src_idx", "dst_idx")
 
 
 def discover_edge_types(raw: DataFrame, typed_nodes: DataFrame) -> DataFrame:

@@ -182,3 +182,41 @@ def test_ranking_plan_has_no_cross_join(spark):
     best = np.argsort(-scores.ravel())[:40]
     seen = list(dict.fromkeys(f"gene {b // 20}" for b in best))
     assert [r.canonical_name for r in got] == seen and math.isclose(got[0].score, scores.max(), abs_tol=1e-7)
+
+
+def test_two_layer_inference_matches_numpy(spark):
+    from edgeloom.operators.attention import Linear, Norm
+    from edgeloom.plans.inference import Layer, forward
+
+    rng = np.random.default_rng(11)
+    heads, dim, sizes = 2, 4, {"A": 5, "B": 3}
+    x = {t: rng.normal(size=(n, 3)) for t, n in sizes.items()}
+    m = lambda *shape: rng.normal(size=shape)
+    typed = lambda i, o: Linear({t: m(i, o) for t in sizes}, {t: m(o) for t in sizes})
+    encoder, norms = typed(3, dim), {t: Norm(m(dim), m(dim)) for t in sizes}
+    layers = [Layer(typed(dim, dim), typed(dim, dim), typed(dim, dim), Linear(m(dim, dim), m(dim)), Linear(m(dim, dim), m(dim)), Norm(m(dim), m(dim)))
+              for _ in range(2)]
+    output = Linear(m(dim, 2), m(2))
+    links = {("A", "r", "B"): [(0, 0), (1, 0), (2, 1), (4, 1)], ("B", "q", "A"): [(0, 3), (1, 3), (2, 0)]}
+    tau = {("A", "r", "B"): 0.5, ("B", "q", "A"): 2.0}
+
+    h = {t: norms[t].at(encoder.at(t, v)) for t, v in x.items()}
+    for layer in layers:
+        total = {t: np.zeros((n, dim)) for t, n in sizes.items()}
+        for (s, r, d), pairs in links.items():
+            src, dst = map(list, zip(*pairs))
+            q, k, v = (w.at(t, h[t])[i].reshape(-1, heads, dim // heads) for w, t, i in ((layer.query, s, src), (layer.key, d, dst), (layer.value, d, dst)))
+            score = (q * k).sum(-1) / (tau[s, r, d] * np.sqrt(dim // heads))
+            alpha = np.exp(score - score.max(0))
+            alpha /= alpha.sum(0)
+            np.add.at(total[d], dst, (alpha[:, :, None] * v).reshape(-1, dim))
+        h = {t: layer.norm.at(layer.skip.at(t, h[t]) + layer.out.at(t, total[t])) for t in sizes}
+    want = {(t, i): output.at(t, h[t])[i] for t, n in sizes.items() for i in range(n)}
+
+    features = spark.createDataFrame([(t, i, v.tolist()) for t in sizes for i, v in enumerate(x[t])], "node_type string, idx long, vec array<double>")
+    edges = spark.createDataFrame([(*k, a, b) for k, pairs in links.items() for a, b in pairs], "src_type string, rel string, dst_type string, src long, dst long")
+    temperatures = spark.createDataFrame([(*k, v) for k, v in tau.items()], "src_type string, rel string, dst_type string, tau double")
+    got = forward(features, edges, temperatures, encoder, layers, output, heads=heads, dim=dim, norms=norms).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert np.allclose(r.vec, want[r.node_type, r.idx])
