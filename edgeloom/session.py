@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +46,37 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+_OWNED: list[list[str]] = []
+
+
 def side_table(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the side tables of a job when its block ends.
+
+    Results must be written or collected inside the block, since frames that read
+    side tables are of no use after it. Blocks nest; each deletes its own.
+    """
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for table in _OWNED.pop():
+            path = jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -111,3 +111,18 @@ def test_best_rows_are_merged_without_a_window(spark):
     for g in ("g0", "g1", "g2"):
         best = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1], r[2]))[:50]
         assert [got[g, i + 1] for i in range(50)] == [(r[1], r[2]) for r in best]
+
+
+def test_owned_tables_are_deleted(spark):
+    import os
+
+    from edgeloom.session import cut_lineage, owned_tables, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with owned_tables(spark):
+        kept = cut_lineage(spark.range(5))
+        with owned_tables(spark):
+            assert cut_lineage(kept).count() == 5
+        assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
