@@ -41,7 +41,7 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 KEPT_WORDS = 600_000
 PIECE = 1 << 20
 #: Bytes of text whose distinct words are replayed together.
-LOT = 16 << 20
+LOT = 6 << 20
 
 
 @lru_cache(1)
@@ -135,15 +135,15 @@ class Vocabulary:
     def replay(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that lie end to end in ``data``, and how many each word has."""
         n = len(data)
-        symbol = self.single[data].astype(np.int64)
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        after = np.arange(1, n + 1)
-        before = np.arange(-1, n - 1)
+        symbol = self.single[data]
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         last = np.cumsum(sizes) - 1
         after[last] = n
         before[last + 1 - sizes] = -1
         alive = np.ones(n + 1, bool)
-        rank = np.full(n, -1, np.int64)
+        rank = np.full(n, -1, np.int32)
         has = np.flatnonzero(after < n)
         rank[has] = self.pair_rank(symbol[has], symbol[after[has]])
         index: dict[int, list[np.ndarray]] = {}
