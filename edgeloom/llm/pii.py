@@ -35,10 +35,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A key, a delimiter and a value; fixed shapes of the bootstrapping.
-PAIR = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24}+)(\x20{0,2}[=:#]\x20{0,2}[\"']?)([^\s\"'<>]{6,80})"
-SECRET = r"^(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,80}$"
-IDENTIFIER = r"^(?=[^0-9]*[0-9])[A-Za-z0-9@._+/-]{6,80}$"
+#: A key, a delimiter and a value, fixed shapes of the bootstrapping: the whole identifier and the whole run of value characters.
+PAIR = r"(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]*+)(\x20{0,2}[=:#]\x20{0,2}[\"']?)([^\s\"'<>]{6,}+)"
+SECRET = r"^(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+$"
+#: May end in the padding of base 64.
+IDENTIFIER = r"^(?=[^0-9]*+[0-9])[A-Za-z0-9@._+/-]{6,}+={0,2}$"
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.5, 3
 SPAN = "array<struct<start:int,end:int,value:string>>"
 

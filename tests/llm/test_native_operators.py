@@ -97,3 +97,17 @@ def test_contexts_of_seeds_reveal_unseen_identifiers(spark):
     assert clean[8] == "x password=[ID] y" and clean[9] == texts[9] and clean[12] == "a [EMAIL]."
     assert pii.mask(docs(spark, texts)).columns == docs(spark, texts).columns
     assert pii.report(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_long_values_and_long_or_numbered_keys_are_masked_whole(spark):
+    wide = [hashlib.sha512(str(i).encode()).hexdigest() for i in range(4)]
+    keys = ["token", "AWS_SECRET_ACCESS_KEY_PRODUCTION", "api_key2", "x", "clé_2"]
+    texts = [f'note {key}="{value}" end' for key in keys for value in wide]
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIx" * 40 + ".c2ln-1_x"
+    padded = "q83vEjRWeJ" * 9 + "=="
+    texts += [f"token={jwt} end", f"api_key2 = {padded} end", "k" * 100_000 + "=" + "v1" * 100_000, "a=" * 50_000]
+    clean = {r.doc_id: r.text for r in pii.mask(docs(spark, texts)).collect()}
+    for i, key in enumerate(k for k in keys for _ in wide):
+        assert clean[i] == f'note {key}="[ID]" end'
+    assert clean[20] == "token=[ID] end" and clean[21] == "api_key2 = [ID] end"
+    assert clean[22] == texts[22] and clean[23] == texts[23]
