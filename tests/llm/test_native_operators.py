@@ -111,3 +111,21 @@ def test_long_values_and_long_or_numbered_keys_are_masked_whole(spark):
         assert clean[i] == f'note {key}="[ID]" end'
     assert clean[20] == "token=[ID] end" and clean[21] == "api_key2 = [ID] end"
     assert clean[22] == texts[22] and clean[23] == texts[23]
+
+
+def test_words_around_seeds_reveal_identifiers_in_prose(spark):
+    secret = lambda i: hashlib.md5(f"s{i}".encode()).hexdigest()
+    texts = [f"Hello, my id is user{i}@mail.com today" for i in range(4)] + ["You see: My ID is AB123456. Fine", "the year was AB123456-7 or so"]
+    texts += [f"we saw {secret(i)} on the list" for i in range(3)] + ["then QX99-1234 on the list", "in room 2024-2025 we sat", "4.5.6.7 my id is X1Y2Z3"]
+    got = {r.doc_id: r.text for r in pii.mask(docs(spark, texts)).collect()}
+    assert got[4] == "You see: My ID is [ID]. Fine" and got[9] == "then [ID] on the list" and got[11] == "[IP] my id is [ID]"
+    assert [got[i] for i in (5, 10)] == [texts[i] for i in (5, 10)] and got[0] == "Hello, my id is [EMAIL] today"
+
+
+def test_rounds_go_on_until_the_graph_is_settled(spark):
+    def group(i, size):
+        return [f"{j}" + "ab" * 20 if i == 0 else f"chain{i}x{j}" for j in range(size)]
+
+    groups = [group(i, size) for i, size in enumerate((24, 12, 6, 3))]
+    texts = [f"key_{'abc'[i]}={value}" for i in range(3) for value in groups[i] + groups[i + 1]]
+    assert all(t == f"key_{t[4]}=[ID]" for t in (r.text for r in pii.mask(docs(spark, texts)).collect()))
