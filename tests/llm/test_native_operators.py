@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import textwrap
+from pathlib import Path
 
 from fixtures import docs
 
@@ -129,3 +131,15 @@ def test_rounds_go_on_until_the_graph_is_settled(spark):
     groups = [group(i, size) for i, size in enumerate((24, 12, 6, 3))]
     texts = [f"key_{'abc'[i]}={value}" for i in range(3) for value in groups[i] + groups[i + 1]]
     assert all(t == f"key_{t[4]}=[ID]" for t in (r.text for r in pii.mask(docs(spark, texts)).collect()))
+
+
+def test_whole_license_texts_and_wrapped_notices(spark):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = [(folder / f"{name}.txt").read_text() for name in ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0")]
+    header = (folder / "Apache-2.0.header.txt").read_text()
+    texts += ["# A file\n" + "".join(f"# {line}\n" for line in header.splitlines()) + "import os", "x\n" + "\n".join(textwrap.wrap(header, 50)) + "\ny",
+              "text\nReleased under\nthe MIT\nLicense.\nmore", "text\nReleased under\nthe MIT\nLicense. And more", texts[0].split("\n", 1)[1]]
+    got = {r.doc_id: (r.n_license_lines, r.licenses, r.whole_license) for r in license_scan.scan(docs(spark, texts), license_scan.built_in(spark)).collect()}
+    assert [got[i][1:] for i in range(3)] == [(x, x) for x in ("MIT", "BSD-3-Clause", "Apache-2.0")] and got[3][2] == "GPL-3.0"
+    assert got[4] == (9, "Apache-2.0", None) and got[5][1:] == ("Apache-2.0", None)
+    assert got[6] == (3, "MIT", None) and got[7] == (0, "", None) and got[8][1:] == ("MIT", "MIT")
