@@ -91,3 +91,32 @@ whole AS (SELECT r, min(license_id) AS whole_license FROM d JOIN known ON array_
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_license_lines, coalesce(licenses, '') AS licenses, whole_license
 FROM d LEFT JOIN per USING (r) LEFT JOIN names USING (r) LEFT JOIN whole USING (r)
 """
+
+
+FILTER_AUDIT = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+f AS (SELECT part, doc_id, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+             100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(doc_id > least, FALSE) AS e FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT x1.k || x2.k || x3.k || x4.k || x5.k AS filter_order, [x1.bit, x2.bit, x3.bit, x4.bit, x5.bit] AS bits
+      FROM x x1 JOIN x x2 ON x2.k <> x1.k JOIN x x3 ON x3.k NOT IN (x1.k, x2.k) JOIN x x4 ON x4.k NOT IN (x1.k, x2.k, x3.k)
+      JOIN x x5 ON x5.k NOT IN (x1.k, x2.k, x3.k, x4.k)),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+c AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND good = 1 THEN n ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND toxic = 1 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c
+"""

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, oracle, pii, quotation, suffix_dedup, toxicity
+from edgeloom.llm import byte_bpe, decontamination, embedding_dedup, filter_audit, language_id, license_scan, minhash_dedup, oracle, periodic_runs, pii, quotation, source_mixing, suffix_dedup, toxicity
 from edgeloom.llm.columns import fold_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +63,26 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("share")
+
+
+def op12_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.taken_words(read(spark, sf_dir, "documents"))
+
+
+def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_periodic_tail(read(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli")
+    sums = [F.sha2(F.concat(listed, F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best, milli, *sums)
+
+
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op4_quotation_links, op5_byte_bpe, op6_pigeonhole_edits, op7_bwt_expansion, op8_license_digests, op9_superminhash, op10_bootstrapped_pii)}
+    return {f.__name__: f for f in (op1_cross_parsing, op2_int8_tiles, op3_levenshtein_lexicon, op4_quotation_links, op5_byte_bpe, op6_pigeonhole_edits, op7_bwt_expansion, op8_license_digests, op9_superminhash, op10_bootstrapped_pii, op11_filter_shapley, op12_block_mixing, op13_basic_factors)}
 
 
 def corpus_sql() -> dict[str, str]:
-    return {"op2_int8_tiles": oracle.INT8_TILES, "op4_quotation_links": oracle.QUOTATION_LINKS, "op8_license_digests": oracle.license_digests(), "op9_superminhash": oracle.SUPERMINHASH}
+    return {"op2_int8_tiles": oracle.INT8_TILES, "op4_quotation_links": oracle.QUOTATION_LINKS, "op8_license_digests": oracle.license_digests(), "op9_superminhash": oracle.SUPERMINHASH, "op11_filter_shapley": oracle.FILTER_AUDIT}
