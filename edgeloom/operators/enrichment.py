@@ -6,14 +6,22 @@ out from the ranks of its members: sets x members, never sets x all genes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.scalar import seeded_uniform
 from edgeloom.operators.ordering import dense_number
-from edgeloom.session import cut_lineage
+from edgeloom.session import cut_lineage, parallelism
 
 SET = "set_name"
+#: Most genes that random sets of the multilevel search are drawn from, 4 MB.
+POOL = 1 << 18
 
 
 def rank_genes(ranked: DataFrame) -> DataFrame:
@@ -59,40 +67,69 @@ def enrichment_score(members: DataFrame, n_genes: int) -> DataFrame:
         SET, "size", extreme(F.col("_hi"), F.col("_lo")).alias("es"))
 
 
-def random_positions(sizes: DataFrame, n_sets: int, n_genes: int, seed: int = 123) -> DataFrame:
-    """``n_sets`` sets of distinct rank positions for every ``size``.
+def random_orders(n_sets: int, depth: int, n_genes: int, spark: SparkSession, seed: int = 123) -> DataFrame:
+    """``(r, place, pos)``: the first ``depth`` rank positions of ``n_sets`` random orders of all genes.
 
-    Positions are drawn by number and the first ``size`` distinct ones kept, so
-    the cost follows the set sizes, not the number of genes. Drawing more never
-    changes earlier picks: the draw count doubles until every set is full.
+    The first ``m`` places of an order are a random set of ``m`` genes, so one order serves every
+    set size and the cost is ``n_sets * depth``, whatever sizes are asked for. Positions are drawn by
+    number and first occurrences kept. Drawing more never changes earlier picks: the draw count doubles
+    until every order is long enough.
     """
-    sizes = cut_lineage(sizes.select("size").distinct())
-    wanted, largest = sizes.agg(F.sum("size"), F.max("size")).first()
-    if (largest or 0) > n_genes:
+    if depth > n_genes:
         raise ValueError("a set cannot be larger than the gene universe")
     factor = 2
     while True:
-        draws = sizes.select("size", F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("r"))
-        draws = draws.select("size", "r", F.explode(F.sequence(
-            F.lit(1).cast("bigint"), F.col("size") * factor + 64)).alias("j"))
-        u = seeded_uniform(seed, F.col("size"), F.col("r"), F.col("j"))
-        first = draws.withColumn("pos", F.floor(u * n_genes).cast("bigint") + 1).groupBy("size", "r", "pos").agg(
-            F.min("j").alias("j"))
-        order = Window.partitionBy("size", "r").orderBy("j")
-        picked = cut_lineage(first.withColumn("_n", F.row_number().over(order)).where(
-            F.col("_n") <= F.col("size")).select("size", "r", "pos"))
-        if picked.count() == (wanted or 0) * n_sets:
+        draws = spark.range(1, n_sets + 1).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(depth * factor + 64).cast("bigint"))).alias("j"))
+        u = seeded_uniform(seed, F.col("r"), F.col("j"))
+        first = draws.withColumn("pos", F.floor(u * n_genes).cast("bigint") + 1).groupBy("r", "pos").agg(F.min("j").alias("j"))
+        place = F.row_number().over(Window.partitionBy("r").orderBy("j"))
+        picked = cut_lineage(first.withColumn("place", place.cast("bigint")).where(F.col("place") <= depth).select("r", "place", "pos"))
+        if picked.count() == depth * n_sets:
             return picked
         factor *= 2
 
 
+def prefix_scores(positions: np.ndarray, weights: np.ndarray, places: np.ndarray, sizes: np.ndarray, n_genes: int) -> np.ndarray:
+    """Scores of the sets that the first ``sizes[i]`` places of one order make; hits come in rank order."""
+    taken = places[None, :] <= sizes[:, None]
+    own = np.where(taken, weights[None, :], 0.0)
+    cum, hit = np.cumsum(own, axis=1), np.cumsum(taken, axis=1)
+    total = cum[:, -1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = (positions[None, :] - hit) / (n_genes - sizes[:, None])
+        high = np.max(np.where(taken, cum / total - gap, -np.inf), axis=1)
+        low = np.min(np.where(taken, (cum - own) / total - gap, np.inf), axis=1)
+    return np.where(total[:, 0] > 0, np.where(np.abs(high) >= np.abs(low), high, low), np.nan)
+
+
 def null_scores(sizes: DataFrame, positions: DataFrame, n_genes: int, n_sets: int, seed: int = 123) -> DataFrame:
-    """Enrichment scores of size-matched random sets: ``(size, r, es)``."""
-    drawn = random_positions(sizes, n_sets, n_genes, seed).join(positions.select("pos", "stat"), "pos")
-    members = drawn.select(F.concat_ws("|", "size", "r").alias(SET), F.lit("").alias("gene"), "pos", "stat", "size")
-    parts = F.split(SET, r"\|")
-    return enrichment_score(members, n_genes).select(
-        "size", parts[1].cast("bigint").alias("r"), "es")
+    """Enrichment scores of size-matched random sets: ``(size, r, es)``, rounded so that equal ones tie.
+
+    Sets of one replicate are nested. A task takes a replicate's hits, at most ``max_size`` rows,
+    and scores every size on them; there are at most ``max_size`` sizes.
+    """
+    wanted = np.array(sorted(r[0] for r in sizes.select("size").distinct().collect()), np.int64)
+    if not len(wanted):
+        return sizes.select("size", F.lit(0).cast("bigint").alias("r"), F.lit(0.0).alias("es")).limit(0)
+    drawn = random_orders(n_sets, int(wanted[-1]), n_genes, sizes.sparkSession, seed).join(positions.select("pos", F.abs("stat").alias("w")), "pos")
+    rows = drawn.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("pos", "place", "w"))).alias("hits"))
+    rows = rows.select("r", *[F.col(f"hits.{c}").alias(c) for c in ("pos", "place", "w")])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            columns = [batch.column(c) for c in ("pos", "w", "place")]
+            es = [prefix_scores(*(c[i].values.to_numpy() for c in columns), wanted, n_genes) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.tile(wanted, n)), pa.array(np.repeat(batch.column("r").to_numpy(), len(wanted))),
+                pa.array(np.concatenate(es) if es else np.zeros(0), from_pandas=True)], ["size", "r", "es"])
+
+    return cut_lineage(rows.mapInArrow(scored, "size bigint, r bigint, es double").withColumn("es", tied("es")))
+
+
+def tied(score: str) -> Column:
+    """A score to eight digits: scores that differ by rounding errors alone are equal."""
+    return F.round(score, 8) + F.lit(0.0)
 
 
 def null_means(null: DataFrame) -> DataFrame:
@@ -112,13 +149,121 @@ def _null_lists(null: DataFrame, column: str) -> DataFrame:
     return F.broadcast(null.groupBy("size").agg(F.collect_list(column).alias("_null")))
 
 
-def nominal_p(scores: DataFrame, null: DataFrame) -> DataFrame:
-    """NES and share of same-sign null scores at least as extreme."""
+def _against_null(scores: DataFrame, null: DataFrame) -> DataFrame:
+    """Adds ``nes`` and the numbers of same-sign null scores, all and at least as extreme."""
     against = normalise(scores, null).join(_null_lists(null, "es"), "size")
     same = F.filter("_null", lambda x: (x >= 0) == (F.col("es") >= 0))
-    extreme_ones = F.filter(same, lambda x: F.abs(x) >= F.abs(F.col("es")))
-    return against.select(SET, "size", "es", "nes", (
-        (F.size(extreme_ones) + 1) / (F.size(same) + 1)).alias("pval"))
+    return against.select(SET, "size", "es", "nes", F.size(same).alias("n_same"),
+                          F.size(F.filter(same, lambda x: F.abs(x) >= F.abs(F.col("es")))).alias("n_extreme"))
+
+
+def nominal_p(scores: DataFrame, null: DataFrame) -> DataFrame:
+    """NES and share of same-sign null scores at least as extreme."""
+    return _against_null(scores, null).select(SET, "size", "es", "nes", ((F.col("n_extreme") + 1) / (F.col("n_same") + 1)).alias("pval"))
+
+
+class SetPopulation:
+    """Random gene sets of one size that a chain of swaps moves above a score.
+
+    Genes are places in a pool sorted by rank; ``sets`` holds one set a row, sorted.
+    """
+
+    def __init__(self, pool: np.ndarray, weights: np.ndarray, n_genes: int, size: int, count: int, rng: np.random.Generator):
+        self.pool, self.weights, self.n_genes, self.rng = pool, weights, n_genes, rng
+        self.sets = np.sort(np.stack([rng.choice(len(pool), size, replace=False) for _ in range(count)]), axis=1)
+        self.scores = self.score(self.sets)
+
+    def score(self, sets: np.ndarray) -> np.ndarray:
+        cum = np.cumsum(own := self.weights[sets], axis=1)
+        total = np.maximum(cum[:, -1:], np.finfo(float).tiny)
+        gap = (self.pool[sets] - np.arange(1, sets.shape[1] + 1)) / (self.n_genes - sets.shape[1])
+        high, low = np.max(cum / total - gap, axis=1), np.min((cum - own) / total - gap, axis=1)
+        return np.where(np.abs(high) >= np.abs(low), high, low)
+
+    def move(self, above: float) -> None:
+        """Swaps one gene of every set at a time, refusing scores not ``above``, until as many swaps as members were made a set."""
+        count, size = self.sets.shape
+        rows, made = np.arange(count), 0
+        for _ in range(20 * size + 100):
+            moved = self.sets.copy()
+            gene = self.rng.integers(len(self.pool), size=count)
+            fresh = (moved != gene[:, None]).all(axis=1)
+            moved[rows, self.rng.integers(size, size=count)] = gene
+            moved.sort(axis=1)
+            scores = self.score(moved)
+            taken = fresh & (scores > above)
+            self.sets[taken], self.scores[taken] = moved[taken], scores[taken]
+            made += int(taken.sum())
+            if made >= count * size:
+                return
+
+    def split(self, above: float) -> int:
+        """Replaces sets not ``above`` by copies of others and moves all; how many were above."""
+        keep = np.flatnonzero(self.scores > above)
+        source = np.where(self.scores > above, np.arange(len(self.scores)), self.rng.choice(keep, len(self.scores)))
+        self.sets, self.scores = self.sets[source], self.scores[source]
+        self.move(above)
+        return len(keep)
+
+
+def tail_probability(population: SetPopulation, score: float, least: float = 1e-50) -> tuple[float, int]:
+    """Share of random sets that score at least ``score``, and how many levels it took.
+
+    Each level is the median of the population: its share is counted, and the half above is the
+    start of the next. A level that no set exceeds ends the search.
+    """
+    p, levels, count = 1.0, 0, len(population.scores)
+    while True:
+        reached = int((population.scores >= score).sum())
+        level = float(np.sort(population.scores)[(count - 1) // 2])
+        if 2 * reached >= count or level >= score or p < least or not (population.scores > level).any():
+            return p * max(reached, 0.5) / count, levels
+        p *= population.split(level) / count
+        levels += 1
+
+
+def multilevel_p(scores: DataFrame, null: DataFrame, positions: DataFrame, n_genes: int, fewest: int = 32,
+                 population: int = 201, pool: int = POOL, seed: int = 123) -> DataFrame:
+    """Nominal p that goes below the share of one random set, by adaptive multilevel splitting.
+
+    Sets with fewer than ``fewest`` null scores as extreme get their share of all sets level by
+    level, one task a set: ``P(score as extreme) / P(same sign)``, the latter from the null. Others keep the
+    counted share. Random sets are drawn from at most ``pool`` genes, a seeded sample where
+    there are more; it is sent to the tasks. ``levels`` is 0 for counted shares; ``log2_error`` is the
+    expected error of the logarithm.
+    """
+    counted = cut_lineage(_against_null(scores, null).withColumn("n_null", F.lit(0).cast("bigint") + null.select("r").distinct().count()))
+    sampled = positions.select("pos", F.abs("stat").alias("w"))
+    if n_genes > pool:
+        picks = positions.sparkSession.range(pool).select((F.floor(seeded_uniform(seed, F.lit("pool"), F.col("id")) * n_genes).cast("bigint") + 1).alias("pos"))
+        sampled = sampled.join(picks.distinct(), "pos")
+    genes = sampled.toPandas().sort_values("pos")
+    rank, weight = genes["pos"].to_numpy(np.int64), genes["w"].to_numpy(np.float64)
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = batch.to_pandas()
+            results = []
+            for row in out.itertuples():
+                down = row.es < 0  # read from the other end, so that the extreme is a high score
+                places, own = (n_genes + 1 - rank[::-1], weight[::-1]) if down else (rank, weight)
+                rng = np.random.default_rng([seed, zlib.crc32(row.set_name.encode())])
+                sets = SetPopulation(places, own, n_genes, row.size, population, rng)
+                share, levels = tail_probability(sets, abs(row.es) - 1e-8)  # scores are rounded
+                results.append((min(1.0, share * row.n_null / max(row.n_same, 1)), levels))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(SET), pa.array([p for p, _ in results], pa.float64()), pa.array([x for _, x in results], pa.int64())], [SET, "deep", "levels"])
+
+    rare = counted.where((F.col("n_extreme") < fewest) & F.col("es").isNotNull())
+    n = max(1, min(rare.count(), 4 * parallelism(rare.sparkSession)))
+    deep = cut_lineage(rare.repartition(n, SET).mapInArrow(estimate, f"{SET} string, deep double, levels bigint"))
+    levels = F.coalesce("levels", F.lit(0).cast("bigint"))
+    # Each halving of a population of S adds about 1 / S to the variance of the logarithm.
+    deep_error = F.sqrt((levels + 1) / F.lit(population)) / math.log(2)
+    share = (F.col("n_extreme") + 1) / (F.col("n_same") + 1)
+    return counted.join(deep, SET, "left").select(
+        SET, "size", "es", "nes", F.coalesce("deep", share).alias("pval"), levels.alias("levels"),
+        F.when(F.col("deep").isNotNull(), deep_error).otherwise(F.sqrt((1 - share) / (F.col("n_extreme") + 1)) / math.log(2)).alias("log2_error"))
 
 
 def empirical_p(observed: DataFrame, null: DataFrame) -> DataFrame:

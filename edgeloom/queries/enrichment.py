@@ -9,7 +9,7 @@ from edgeloom.operators import enrichment as E
 from edgeloom.queries.registry import query
 from edgeloom.sources.readers import clean_statistics
 
-N_SETS = 100
+N_SETS = 2000
 HITS_SQL = """
     SELECT s.set_name, s.gene, r.pos, abs(r.stat) AS w, r.n_total, COUNT(*) OVER (PARTITION BY s.set_name) AS size
     FROM g_gene_sets s JOIN g_ranked_pos r ON r.gene = s.gene"""
@@ -33,20 +33,21 @@ ES_SQL = es_sql(BOUNDED_SQL)
 
 
 def null_sql(sizes):
-    """Scores of size-matched random sets."""
-    draws = f"""SELECT size, r, j, CAST(floor(('0x' || substr(md5(concat_ws('|', '123', size, r, j)), 1, 13))::BIGINT
+    """Scores of size-matched random sets: the first places of one random order a replicate."""
+    draws = f"""SELECT r, j, CAST(floor(('0x' || substr(md5(concat_ws('|', '123', r, j)), 1, 13))::BIGINT
         / 4503599627370496.0::DOUBLE * (SELECT COUNT(*) FROM g_ranked)) AS BIGINT) + 1 AS pos
-        FROM (SELECT size, r, unnest(range(1, size * 2 + 65)) AS j FROM
-              (SELECT size, unnest(range(1, {N_SETS + 1})) AS r FROM ({sizes})))"""
-    picked = f"""SELECT size, r, pos FROM (SELECT *, row_number() OVER (PARTITION BY size, r ORDER BY j) AS n FROM
-        (SELECT size, r, pos, MIN(j) AS j FROM ({draws}) GROUP BY size, r, pos)) WHERE n <= size"""
-    rows = f"""SELECT concat(p.size, '|', p.r) AS key, p.size, p.r, p.pos, abs(g.stat) AS w, g.n_total
-        FROM ({picked}) p JOIN g_ranked_pos g ON g.pos = p.pos"""
-    return f"SELECT size, key, es FROM ({es_sql(rows, 'key')})", picked
+        FROM (SELECT r, unnest(range(1, (SELECT MAX(size) FROM ({sizes})) * 2 + 65)) AS j
+              FROM (SELECT unnest(range(1, {N_SETS + 1})) AS r))"""
+    picked = f"""SELECT r, place, pos FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY j) AS place FROM
+        (SELECT r, pos, MIN(j) AS j FROM ({draws}) GROUP BY r, pos)) WHERE place <= (SELECT MAX(size) FROM ({sizes}))"""
+    rows = f"""SELECT concat(s.size, '|', p.r) AS key, s.size, p.r, p.pos, abs(g.stat) AS w, g.n_total
+        FROM ({picked}) p JOIN ({sizes}) s ON p.place <= s.size JOIN g_ranked_pos g ON g.pos = p.pos"""
+    return f"SELECT size, key, round(es, 8) + 0.0 AS es FROM ({es_sql(rows, 'key')})", picked
 
 
 SIZES_SQL = f"SELECT DISTINCT size FROM ({BOUNDED_SQL})"
 NULL_SQL, PICKED_SQL = null_sql(SIZES_SQL)
+TIED_SQL = f"SELECT set_name, size, round(es, 8) + 0.0 AS es FROM ({ES_SQL})"
 
 
 def nes_sql(scores, null):
@@ -87,21 +88,21 @@ def score(t):
 
 
 @query("N4_random_sets", f"""
-    SELECT p.size, p.r, g.gene FROM ({PICKED_SQL}) p JOIN g_ranked_pos g ON g.pos = p.pos""")
+    SELECT p.r, p.place, g.gene FROM ({PICKED_SQL}) p JOIN g_ranked_pos g ON g.pos = p.pos""")
 def random_sets(t):
     positions, n, members = inputs(t)
-    drawn = E.random_positions(members.select("size").distinct(), N_SETS, n)
-    return drawn.join(positions, "pos").select("size", F.col("r").cast("bigint").alias("r"), "gene")
+    largest = members.agg(F.max("size")).first()[0] or 0
+    return E.random_orders(N_SETS, largest, n, t.spark).join(positions, "pos").select("r", "place", "gene")
 
 
 def scored(t):
     positions, n, members = inputs(t)
-    observed = E.enrichment_score(members, n)
+    observed = E.enrichment_score(members, n).withColumn("es", E.tied("es"))
     return observed, E.null_scores(members.select("size").distinct(), positions, n, N_SETS)
 
 
 @query("E2_nes", f"""
-    WITH nul AS ({NULL_SQL}), obs AS ({nes_sql(ES_SQL, 'SELECT * FROM nul')})
+    WITH nul AS ({NULL_SQL}), obs AS ({nes_sql(TIED_SQL, 'SELECT * FROM nul')})
     SELECT o.set_name, o.size, round(o.es, 6) + 0.0 AS es, round(o.nes, 6) + 0.0 AS nes,
            round((COUNT(*) FILTER ((n.es >= 0) = (o.es >= 0) AND abs(n.es) >= abs(o.es)) + 1)
                  / (COUNT(*) FILTER ((n.es >= 0) = (o.es >= 0)) + 1), 6) AS pval
@@ -112,11 +113,18 @@ def nes(t):
                                               tidy(F.col("nes")).alias("nes"), F.round("pval", 6).alias("pval"))
 
 
+@query("E2_multilevel_p")
+def multilevel(t):
+    observed, null = scored(t)
+    positions = E.rank_genes(t.ranked)
+    return E.multilevel_p(observed, null, positions, positions.count())
+
+
 NULL_NES_SQL = nes_sql("SELECT * FROM nul", "SELECT * FROM nul")
 
 
 @query("E4_empirical_p", f"""
-    WITH nul AS ({NULL_SQL}), obs AS ({nes_sql(ES_SQL, 'SELECT * FROM nul')}), nn AS ({NULL_NES_SQL})
+    WITH nul AS ({NULL_SQL}), obs AS ({nes_sql(TIED_SQL, 'SELECT * FROM nul')}), nn AS ({NULL_NES_SQL})
     SELECT o.set_name, round(o.nes, 6) + 0.0 AS nes, COUNT(*) AS n_random,
            round((COUNT(*) FILTER (abs(n.nes) >= abs(o.nes)) + 1) / (COUNT(*) + 1), 6) AS p_empirical
     FROM obs o JOIN nn n ON n.size = o.size GROUP BY o.set_name, o.nes""")

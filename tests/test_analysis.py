@@ -1,8 +1,10 @@
 """Ranking, evidence, expression, enrichment and features."""
 
+import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.operators import attention as A
@@ -102,9 +104,43 @@ def test_enrichment_against_full_running_sum(spark):
     loo = {(r.set_name, r.removed): r.es for r in E.leave_one_out(members, 120).collect()}
     for i in sorted(sets["s0"]):
         assert abs(loo[("s0", f"g{i}")] - brute_es(stats, sets["s0"] - {i})) < 1e-9
-    drawn = E.random_positions(spark.createDataFrame([(60,), (5,)], "size long"), 3, 100)
-    sizes = {(r.size, r.r): r.n for r in drawn.groupBy("size", "r").agg(F.count_distinct("pos").alias("n")).collect()}
-    assert sizes == {(s, r): s for s in (60, 5) for r in (1, 2, 3)}
+    orders = E.random_orders(3, 60, 100, spark).collect()
+    assert all(len({o.pos for o in orders if o.r == r}) == 60 and sorted(o.place for o in orders if o.r == r) == list(range(1, 61)) for r in (1, 2, 3))
+    assert all(1 <= o.pos <= 100 for o in orders)
+    null = E.null_scores(spark.createDataFrame([(60,), (5,)], "size long"), E.rank_genes(spark.createDataFrame(
+        [(f"g{i}", s) for i, s in enumerate(stats[:100])], "gene string, stat double")), 100, 3).collect()
+    assert len(null) == 6
+    down = sorted(range(100), key=lambda i: (-stats[i], f"g{i}"))
+    for row in null:
+        members = {down[o.pos - 1] for o in orders if o.r == row.r and o.place <= row["size"]}
+        assert abs(row.es - brute_es(stats[:100], members)) < 1e-7
+    none = E.null_scores(spark.createDataFrame([], "size long"), positions, 120, 3)
+    assert none.count() == 0 and none.columns == ["size", "r", "es"]
+
+
+@pytest.mark.parametrize("genes, size", [(14, 4), (40, 3)])
+def test_multilevel_p_against_all_sets(spark, genes, size):
+    """Exact shares of all sets of a small universe, far below one in the number of random sets."""
+    rng = np.random.default_rng(11)
+    stats = np.sort(rng.normal(size=genes))[::-1].round(6).tolist()
+    every = {c: brute_es(stats, set(c)) for c in itertools.combinations(range(genes), size)}
+    order = sorted(every, key=every.get)
+    chosen = [order[-1], order[-len(order) // 200], order[0], order[len(order) // 300], order[len(order) // 2]]
+    rows = [(f"s{k}", f"g{i:03d}") for k, c in enumerate(chosen) for i in c]
+    positions = E.rank_genes(spark.createDataFrame([(f"g{i:03d}", s) for i, s in enumerate(stats)], "gene string, stat double"))
+    members = E.hits(spark.createDataFrame(rows, "set_name string, gene string"), positions, min_size=1)
+    observed = E.enrichment_score(members, genes).withColumn("es", E.tied("es"))
+    null = E.null_scores(members.select("size").distinct(), positions, genes, 200)
+    got = {r.set_name: r for r in E.multilevel_p(observed, null, positions, genes, fewest=8, population=401).collect()}
+    for k, c in enumerate(chosen):
+        es = every[c]
+        same = [x for x in every.values() if (x >= 0) == (es >= 0)]
+        exact = sum(abs(x) >= abs(es) - 1e-9 for x in same) / len(same)
+        if exact < 8 / 200:
+            assert got[f"s{k}"].levels > 0
+        assert abs(np.log2(got[f"s{k}"].pval / exact)) < 1.2, (k, got[f"s{k}"], exact)
+    again = {r.set_name: r for r in E.multilevel_p(observed, null, positions, genes, fewest=8, population=401).collect()}
+    assert again == got
 
 
 def attention_toy(spark):
