@@ -33,7 +33,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.bytestrings import PrefixHash, ragged, text_bytes
+from edgeloom.llm.bytestrings import digests as string_digests
+from edgeloom.llm.bytestrings import ragged, text_bytes
 from edgeloom.llm.columns import chunks, resident
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -212,7 +213,7 @@ def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Piece:
-    """A chunk of texts as codes of its distinct words."""
+    """A chunk of texts as codes of its distinct words, with a digest of each."""
 
     names: np.ndarray
     word_bytes: np.ndarray
@@ -229,10 +230,10 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> Piece:
     is_first = np.zeros(len(data) + 1, bool)
     is_first[offsets] = True
     begins = np.append(byte_at[word_starts(points, is_first[:-1][byte_at])], len(data))
-    start, end = begins[:-1], begins[1:]
-    names, where, code = np.unique(PrefixHash(data).of(start, end), return_index=True, return_inverse=True)
-    sizes = end[where] - start[where]
-    return Piece(names, data[ragged(start[where], sizes)], sizes, code.astype(np.int32), np.searchsorted(start, offsets))
+    named = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    words = named.dictionary.to_pylist()
+    return Piece(string_digests(words), np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)),
+                 named.indices.to_numpy(), np.searchsorted(begins[:-1], offsets))
 
 
 class Encoder:
@@ -282,6 +283,19 @@ class Encoder:
         ids = self.ids[ragged(self.at[at][piece.code], counts)]
         return ids, np.concatenate([[0], np.cumsum(counts)])[piece.text_at]
 
+    def alone(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of texts whose words are replayed in place, none told by its digest."""
+        self.forget()
+        found = []
+        for i in range(len(offsets) - 1):
+            piece = cut_words(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+            if not len(piece.word_sizes):
+                found.append(np.zeros(0, np.int32))
+                continue
+            ids, counts = self.vocabulary.replay(piece.word_bytes, piece.word_sizes)
+            found.append(ids[ragged((np.cumsum(counts) - counts)[piece.code], counts[piece.code])])
+        return np.concatenate(found), np.cumsum([0] + [len(x) for x in found])
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids end to end, and how many bytes each id has."""
         sizes = self.vocabulary.token_size[ids]
@@ -336,6 +350,9 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                 data, offsets = text_bytes(part["text"])
                 ids, at = coder.ids_of(piece)
                 id_sums, text_sums, same = digests(coder, ids, at, data, offsets)
+                if not all(same):  # words of equal digest met: no word of other texts is used
+                    ids, at = coder.alone(data, offsets)
+                    id_sums, text_sums, same = digests(coder, ids, at, data, offsets)
                 columns = [part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(id_sums, pa.string()),
                            pa.array(text_sums, pa.string()), pa.array(same, pa.bool_())]
                 if keep_ids:

@@ -1,13 +1,14 @@
 """Array arithmetic over the bytes of many texts at once.
 
 Texts of a chunk lie end to end in one byte array; offsets mark where each
-begins. A polynomial prefix hash gives the hash of any substring in a few
-operations per element.
+begins. Strings that a result depends on are told apart by their bytes or by
+cryptographic digests; windows of one length have hashes made by mixing halves.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,37 +41,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-
-
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept up to the longest chunk seen."""
-    if len(_POWERS["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            out = np.ones(1, np.uint64)
-            while len(out) < size:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _POWERS[name] = out
-    return _POWERS["up"], _POWERS["down"]
-
-
-class PrefixHash:
-    """Hashes of substrings of one byte array."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * up[:len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed hash of ``data[start:end]``, elementwise."""
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def binary_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings ``data[starts[i]:ends[i]]`` as an Arrow array."""
+    sizes = ends - starts
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[ragged(starts, sizes)]))])
+
+
+def digests(strings: Iterable[bytes]) -> np.ndarray:
+    """A 64-bit BLAKE2b digest of every byte string."""
+    return np.frombuffer(b"".join(blake2b(x, digest_size=8).digest() for x in strings), np.uint64)
+
+
+def window_hashes(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """A hash of every window of ``length`` bytes.
+
+    Hashes of two neighbouring windows are mixed into that of the window of twice the length, so no
+    sum of powers, whose collisions can be built, is behind it.
+    """
+    level = mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(BASE))[data]
+    out, done, size = None, 0, 1
+    n = len(data) - length + 1
+    while True:
+        if length & size:
+            part = level[done:done + n]
+            out = part if out is None else mix(out * np.uint64(BASE) + mix(part + np.uint64(size)))
+            done += size
+        if done == length:
+            return out
+        level = mix(level[:-size] * np.uint64(BASE) + mix(level[size:] + np.uint64(size)))
+        size *= 2
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.bytestrings import counted, ragged, text_bytes
+from edgeloom.llm.bytestrings import binary_slices, counted, ragged, text_bytes
 from edgeloom.llm.columns import chunks
 from edgeloom.llm.shingles import words
 
@@ -41,10 +41,7 @@ RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.in
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_at: np.ndarray) -> np.ndarray:
     """A number for every word, equal exactly for equal words of one text."""
-    sizes = ends - starts
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    listed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[ragged(starts, sizes)]))])
-    encoded = listed.dictionary_encode()
+    encoded = binary_slices(data, starts, ends).dictionary_encode()
     counts = np.diff(word_at)
     return encoded.indices.to_numpy().astype(np.int64) + np.repeat(np.arange(len(counts)) * len(encoded.dictionary), counts)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from edgeloom.llm.bytestrings import PrefixHash, counted, mix, ragged
+from edgeloom.llm.bytestrings import binary_slices, counted, digests, mix, ragged
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,12 +34,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted within it, and their offsets.
 
+    A shingle's hash mixes the cryptographic digests of its words.
     Words are runs of bytes other than the six ASCII spaces, with A-Z lowered. A
     text of fewer than ``k`` words has its whole word sequence as one shingle; a
     text without words has none.
     """
     starts, ends, word_at = words(data, offsets)
-    hashed = PrefixHash(_LOWER[data]).of(starts, ends)
+    named = binary_slices(_LOWER[data], starts, ends).dictionary_encode()
+    hashed = digests(named.dictionary.to_pylist())[named.indices.to_numpy()]
     counts = np.diff(word_at)
     n = np.maximum(counts - k + 1, 0)
     first = ragged(word_at[:-1], n)

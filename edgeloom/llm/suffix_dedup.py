@@ -15,7 +15,8 @@ that depth are one class of ranks, which is what the expansion needs.
 
 Bounds. A task takes the grams of its partition in lots of about ``LOT`` bytes. A
 gram whose classes exceed ``WIDEST`` bytes is not gathered: its windows are
-counted one by one by a 128-bit digest, which decides the same thing.
+counted one by one by two independent 64-bit hashes, which decides the same thing.
+Segments are equal by gram and a cryptographic digest.
 
 Defined results. A null text is empty. Texts shorter than ``length`` lose
 nothing. Repeated rows, with the same or another id, are occurrences of their
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.bytestrings import PrefixHash, mix, ragged, text_bytes
+from edgeloom.llm.bytestrings import digests, ragged, text_bytes, window_hashes
 from edgeloom.llm.columns import bounded_broadcast, chunks
 from edgeloom.session import cut_lineage, parallelism
 
@@ -49,9 +50,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     n = len(data)
     if not (sizes >= length).any():
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    hashed = PrefixHash(data)
     at = np.arange(n - gram + 1)
-    grams = hashed.of(at, at + gram)
+    grams = window_hashes(data, gram)
     # The position in the low bits makes the first of equal grams the smallest.
     bits = np.uint64(int(n).bit_length())
     low = (grams >> bits << bits) | at.astype(np.uint64)
@@ -70,7 +70,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     begin = starts[first]
     end = starts[np.append(first[1:], len(starts)) - 1] + length
     text = np.searchsorted(offsets, begin, side="right") - 1
-    return text, begin, end, grams[anchor[first]], hashed.of(begin, end)
+    whole = memoryview(np.ascontiguousarray(data))
+    return text, begin, end, grams[anchor[first]], digests(whole[a:b] for a, b in zip(begin.tolist(), end.tolist()))
 
 
 def suffix_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,11 +258,10 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
             for gram, digest, copies, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "digest", "copies", "piece"))):
                 data = np.frombuffer(piece, np.uint8)
                 at = np.arange(len(data) - length + 1)
-                one = PrefixHash(data).of(at, at + length)
-                two = PrefixHash(data ^ np.uint8(0x5A)).of(at, at + length)
+                one, two = window_hashes(data, length, 1), window_hashes(data, length, 2)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(at), gram), pa.int64()), pa.array(np.full(len(at), digest), pa.int64()), pa.array(np.full(len(at), copies), pa.int64()),
-                    pa.array(at, pa.int32()), pa.array(one.view(np.int64)), pa.array(mix(two).view(np.int64))], ["gram", "digest", "copies", "at", "a", "b"])
+                    pa.array(at, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["gram", "digest", "copies", "at", "a", "b"])
 
     each = pieces.mapInArrow(windows, "gram bigint, digest bigint, copies bigint, at int, a bigint, b bigint").distinct()
     often = each.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1")

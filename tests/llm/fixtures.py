@@ -15,3 +15,11 @@ def prose(seed, words, vocabulary=400):
     rng = random.Random(seed)
     names = ["".join(random.Random(f"w{i}").choice("abcdefghij") for _ in range(3 + i % 6)) for i in range(vocabulary)]
     return " ".join(rng.choice(names) for _ in range(words))
+
+
+def thue_morse(bits=10):
+    """A word of a and b and its complement: equal under any polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

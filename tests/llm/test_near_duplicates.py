@@ -4,7 +4,7 @@ import random
 import re
 
 import numpy as np
-from fixtures import docs, prose
+from fixtures import docs, prose, thue_morse
 
 from edgeloom.llm.components import components
 from edgeloom.llm.embedding_dedup import quantised, vector_links
@@ -64,6 +64,11 @@ def test_minhash_groups_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(len(texts)) if want[i] == i]
 
 
+def test_minhash_of_words_that_weak_hashes_confuse(spark):
+    rows = near_duplicates(docs(spark, [w + " x y z" for w in thue_morse()]), k=4, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(0, 0, True), (1, 1, True)]
+
+
 def test_minhash_of_an_empty_table(spark):
     assert near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 

@@ -9,10 +9,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from fixtures import docs, prose
+from fixtures import docs, prose, thue_morse
 from pyspark.sql import functions as F
 
-from edgeloom.llm import byte_bpe, decontamination, language_id, suffix_dedup, toxicity
+from edgeloom.llm import byte_bpe, bytestrings, decontamination, language_id, suffix_dedup, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -136,6 +136,37 @@ def test_tokens_match_the_library(spark):
     assert byte_bpe.encode_documents(table.limit(0), PATH).count() == 0
 
 
+def test_tokens_of_words_that_weak_hashes_confuse(spark):
+    texts = list(thue_morse())
+    coder = reference_encoder()
+    rows = {r.doc_id: r for r in byte_bpe.encode_documents(docs(spark, texts), PATH, keep_ids=True).collect()}
+    assert all(rows[i].ids == coder.encode_ordinary(t) and rows[i].lossless for i, t in enumerate(texts))
+
+
+def test_equal_digests_do_not_change_tokens(spark, monkeypatch):
+    texts = ["one two", "", "six ten", None, "two two one"]
+    coder = reference_encoder()
+    monkeypatch.setattr(byte_bpe, "string_digests", lambda words: np.array([len(w) for w in words], np.uint64))
+    encoder = byte_bpe.Encoder(byte_bpe.Vocabulary(PATH))
+    data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t or "") for t in texts])
+    piece = byte_bpe.cut_words(data, offsets)
+    encoder.learn([piece])
+    assert not all(byte_bpe.digests(encoder, *encoder.ids_of(piece), data, offsets)[2])
+    ids, at = encoder.alone(data, offsets)
+    assert [list(ids[a:b]) for a, b in zip(at, at[1:])] == [coder.encode_ordinary(t or "") for t in texts]
+
+
+def test_window_hashes_tell_windows_apart():
+    rng = np.random.default_rng(4)
+    for length in (1, 2, 7, 64, 400):
+        data = np.concatenate([rng.integers(97, 99, 900).astype(np.uint8), np.frombuffer("".join(thue_morse()).encode(), np.uint8)])
+        hashed = bytestrings.window_hashes(data, length)
+        strings = [data[i:i + length].tobytes() for i in range(len(data) - length + 1)]
+        assert len(hashed) == len(strings) and len(set(hashed.tolist())) == len(set(strings))
+        assert dict(zip(strings, hashed.tolist())) == {s: h for s, h in zip(strings, hashed.tolist())}
+
+
 def sellers(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
