@@ -132,9 +132,9 @@ def relation_ids(t):
                        dst * 8 + {CODE_SQL.replace('node_type', 'dst_type')} AS d FROM g_edges) e
           LEFT JOIN ids a ON a.node_type = e.src_type AND a.node_id = e.s
           LEFT JOIN ids b ON b.node_type = e.dst_type AND b.node_id = e.d)
-    SELECT src_type, rel, dst_type, src_idx, dst_idx FROM m
-    WHERE (src_type, rel, dst_type) NOT IN
-          (SELECT (src_type, rel, dst_type) FROM m WHERE src_idx IS NULL OR dst_idx IS NULL)""")
+    SELECT src_type, rel, dst_type, src_idx, dst_idx
+    FROM (SELECT *, bool_or(src_idx IS NULL OR dst_idx IS NULL) OVER (PARTITION BY src_type, rel, dst_type) AS broken FROM m)
+    WHERE NOT broken""")
 def reindex(t):
     ids = G.dense_ids(with_ids(t).where("node_type <> 'Region'").select("node_type", "node_id"))
     return G.reindex_edges(id_edges(t), ids).select("src_type", "rel", "dst_type", "src_idx", "dst_idx")

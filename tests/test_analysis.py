@@ -143,6 +143,28 @@ def test_multilevel_p_against_all_sets(spark, genes, size):
     assert again == got
 
 
+def test_hops_from_many_anchors(spark):
+    """More anchors than a bit word holds, against a plain search."""
+    rng = np.random.default_rng(3)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 300, (380, 2)).tolist() if p[0] != p[1]}
+    edges = spark.createDataFrame([("N", "R", "N", a, b) for a, b in pairs], "src_type string, rel string, dst_type string, src long, dst long")
+    starts = [(f"a{i % 150}", "N", int(x)) for i, x in enumerate(rng.integers(0, 300, 200))]
+    got = {(r.anchor, r.idx): r.hops for r in V.anchor_hops(edges, spark.createDataFrame(starts, "anchor string, node_type string, idx long"), 4).collect()}
+    near = {i: set() for i in range(300)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for anchor in {s[0] for s in starts}:
+        level = {x for a, _, x in starts if a == anchor}
+        seen = set(level)
+        for hops in range(5):
+            want |= {(anchor, x): hops for x in level}
+            level = {y for x in level for y in near[x]} - seen
+            seen |= level
+    assert got == want
+
+
 def attention_toy(spark):
     vec = lambda seed: np.random.default_rng(seed).normal(size=8).tolist()
     nodes = spark.createDataFrame([("Gene", i, vec(i)) for i in range(4)] + [("Disease", i, vec(10 + i)) for i in range(3)],
