@@ -137,6 +137,14 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return moves
 
 
+def _links(sample: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that a sample's automaton takes in the table, and its transitions as arrays."""
+    moves = suffix_automaton(sample)
+    source = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+    symbol = np.fromiter((c for m in moves for c in m), np.int64, len(source))
+    return len(moves) + 1, source, symbol, np.fromiter((t for m in moves for t in m.values()), np.int64, len(source))
+
+
 class Parser:
     """All automata in one table: the next row, and whether the character begins a phrase."""
 
@@ -145,24 +153,21 @@ class Parser:
         self.codes = _code_table(model.alphabet)
         width = self.width = len(model.alphabet) + 3  # blank, letters, other letters, padding
         self.pad = width - 1
-        tables, self.roots, base = [], [], 0
-        for sample in model.samples:
-            moves = suffix_automaton(sample)
-            n = len(moves) + 1  # row 0: no phrase is open
-            table = np.empty((n, width), np.int64)
+        links = [_links(sample) for sample in model.samples]
+        rows = sum(n for n, _, _, _ in links)
+        kind = np.int32 if rows * width * 2 < 2 ** 31 else np.int64
+        self.table = np.empty((rows, width), kind)
+        self.roots, base = [], 0
+        for n, source, symbol, target in links:  # of a language's n rows the first has no open phrase
+            table = self.table[base:base + n]
             begin = np.zeros(width, np.int64)
-            for c, target in moves[0].items():
-                begin[c] = target + 1
+            begin[symbol[source == 0]] = target[source == 0] + 1
             table[:] = (base + begin) * width * 2 + 1
-            source = np.repeat(np.arange(1, n), [len(m) for m in moves])
-            symbol = np.fromiter((c for m in moves for c in m), np.int64)
-            target = np.fromiter((t for m in moves for t in m.values()), np.int64)
-            table[source, symbol] = (base + 1 + target) * width * 2
+            table[source + 1, symbol] = (base + 1 + target) * width * 2
             table[:, self.pad] = (base + np.arange(n)) * width * 2
-            tables.append(table.ravel())
             self.roots.append(base * width)
             base += n
-        self.table = np.concatenate(tables).astype(np.int32 if base * width * 2 < 2 ** 31 else np.int64)
+        self.table = self.table.ravel()
         self.bits = np.log2([max(len(s), 2) for s in model.samples])
 
     def phrases(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
