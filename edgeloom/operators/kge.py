@@ -11,15 +11,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions import scalar as V
 from edgeloom.operators import blocks
+from edgeloom.operators.lowrank import matrix, sum_rows
 from edgeloom.operators.metrics import rank_among
 from edgeloom.operators.skew import spread_join
-from edgeloom.session import cut_lineage
+from edgeloom.session import cut_lineage, parallelism, side_table
 
 
 def _halves(vec: Column) -> tuple[Column, Column]:
@@ -184,66 +185,116 @@ def _gradients(name: str, h, r, t):
     return (-dist, -np.hstack([ur * c + ui * s, -ur * s + ui * c]), -(-ur * im + ui * re), unit)
 
 
-def train_epoch(triples: DataFrame, entities: DataFrame, relations: DataFrame, model: str, epoch: int,
-                n_entities: int, n_triples: int, dims: tuple[int, int], lr: float = 1e-3,
-                seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
-    """One full-batch epoch: join, per-triple gradients, summed per id, Adam step.
+STATE = "kind string, part int, id bigint, vec array<double>, m array<double>, v array<double>"
+_VECTOR = pa.list_(pa.float64())
+_STATE = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("id", pa.int64()), ("vec", _VECTOR), ("m", _VECTOR), ("v", _VECTOR)])
+_SUMS = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("g", _VECTOR)])
+#: Sums of gradients a task holds before it passes them on.
+HELD_ROWS = 65_536
+#: Ids of a part, and numbers in the entity table that a join may broadcast (256 MB).
+PART_ROWS, BROADCAST_NUMBERS = 8_192, 1 << 25
 
-    ``entities`` and ``relations`` are ``(id, vec, m, v)``. Gradients are summed
-    per batch inside each task before the shuffle, so a frequent entity sends
-    one row per batch.
-    """
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    at = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def _batch_sums(model: str, n: int, h, r, t, x) -> tuple[float, list]:
+    """Loss and gradients of one batch of triples and corrupted tails, as ``(kind, end, gradients)``."""
     scorer = SCORERS[model]
-    n = n_triples
-    pairs = corrupt_tails(triples, n_entities, 1, seed + epoch)
-    full = with_vectors(pairs.select("h", "r", "t", "neg_t"), entities.select("id", "vec"),
-                        relations.select("id", "vec"))
-    full = spread_join(full, entities.select(F.col("id").alias("neg_t"), F.col("vec").alias("nv")), ["neg_t"])
+    sp, ph, pr, pt = _gradients(model, h, r, t)
+    sn, nh, nr, nt = _gradients(model, h, r, x)
+    if scorer.loss == "margin":
+        loss = np.maximum(0.0, sn - sp + scorer.margin)
+        wp = -(loss > 0).astype(float) / n
+        wn, total = -wp, loss.sum() / n
+    else:
+        total = np.logaddexp(0.0, -np.concatenate([sp, -sn])).sum() / (2 * n)
+        wp, wn = -1.0 / (1.0 + np.exp(sp)) / (2 * n), 1.0 / (1.0 + np.exp(-sn)) / (2 * n)
+    wp, wn = wp[:, None], wn[:, None]
+    return total, [("e", "h", wp * ph + wn * nh), ("r", "r", wp * pr + wn * nr), ("e", "t", wp * pt), ("e", "neg_t", wn * nt)]
+
+
+def gradient_sums(full: DataFrame, model: str, n: int) -> DataFrame:
+    """``(kind, id, g)``: gradients summed by id inside each task, and the loss as kind ``loss``.
+
+    A task keeps up to ``HELD_ROWS`` sums over its batches, so a frequent entity sends a row a task.
+    """
+
+    def run(batches):
+        held: dict[str, list] = {"e": [], "r": []}
+        loss = 0.0
 
-    def batches(frames):
-        for pdf in frames:
-            if pdf.empty:
+        def merged(kind: str) -> tuple[np.ndarray, np.ndarray]:
+            return sum_rows(np.concatenate([i for i, _ in held[kind]]), np.vstack([g for _, g in held[kind]]))
+
+        def rows(kind: str, sums: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(sums[0]), pa.string()), pa.array(sums[0], pa.int64()), _lists(sums[1])], schema=_SUMS)
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            h, r, t, x = (np.array(pdf[c].tolist(), dtype=np.float64) for c in ("hv", "rv", "tv", "nv"))
-            sp, ph, pr, pt = _gradients(model, h, r, t)
-            sn, nh, nr, nt = _gradients(model, h, r, x)
-            if scorer.loss == "margin":
-                loss = np.maximum(0.0, sn - sp + scorer.margin)
-                wp = -(loss > 0).astype(float) / n
-                wn = -wp
-                loss_sum = loss.sum() / n
-            else:
-                both = np.concatenate([sp, -sn])
-                loss_sum = np.logaddexp(0.0, -both).sum() / (2 * n)
-                wp = -1.0 / (1.0 + np.exp(sp)) / (2 * n)
-                wn = 1.0 / (1.0 + np.exp(-sn)) / (2 * n)
-            out = []
-            for kind, ids, grads in (
-                    ("e", pdf["h"].values, wp[:, None] * ph + wn[:, None] * nh),
-                    ("r", pdf["r"].values, wp[:, None] * pr + wn[:, None] * nr),
-                    ("e", pdf["t"].values, wp[:, None] * pt), ("e", pdf["neg_t"].values, wn[:, None] * nt)):
-                uniq, inverse = np.unique(ids, return_inverse=True)
-                total = np.zeros((len(uniq), grads.shape[1]))
-                np.add.at(total, inverse, grads)
-                out.append(pd.DataFrame({"kind": kind, "id": uniq, "g": list(total), "loss": 0.0}))
-            out.append(pd.DataFrame({"kind": ["loss"], "id": [0], "g": [np.zeros(1)], "loss": [loss_sum]}))
-            yield pd.concat(out)
-
-    grads = cut_lineage(full.select("h", "r", "t", "neg_t", "hv", "rv", "tv", "nv").mapInPandas(
-        batches, "kind string, id bigint, g array<double>, loss double"))
-    loss = grads.where("kind = 'loss'").agg(F.sum("loss")).first()[0]
-
-    def step(table: DataFrame, kind: str, dim: int) -> DataFrame:
-        g = grads.where(F.col("kind") == kind).groupBy("id").agg(V.vector_sum("g", dim).alias("g"))
-        joined = table.join(g, "id", "left").withColumn("g", F.coalesce("g", V.zeros(dim)))
-        b1, b2, eps = 0.9, 0.999, 1e-8
-        joined = joined.withColumn("m", F.zip_with("m", "g", lambda m, x: m * b1 + x * (1 - b1))).withColumn(
-            "v", F.zip_with("v", "g", lambda v, x: v * b2 + x * x * (1 - b2)))
-        rate = F.zip_with("m", "v", lambda m, v: F.lit(lr) * (m / (1 - b1 ** epoch)) / (
-            F.sqrt(v / (1 - b2 ** epoch)) + eps))
-        return cut_lineage(joined.select("id", F.zip_with("vec", rate, lambda w, d: w - d).alias("vec"), "m", "v"))
-
-    return step(entities, "e", dims[0]), step(relations, "r", dims[1]), float(loss)
+            total, parts = _batch_sums(model, n, *(matrix(batch.column(c)) for c in ("hv", "rv", "tv", "nv")))
+            loss += total
+            for kind, end, grads in parts:
+                held[kind].append(sum_rows(batch.column(end).to_numpy(), grads))
+            for kind in held:
+                held[kind] = [merged(kind)]
+                if len(held[kind][0][0]) > HELD_ROWS:
+                    yield rows(kind, held[kind].pop())
+        for kind, sums in held.items():
+            if sums:
+                yield rows(kind, merged(kind))
+        if loss:
+            yield rows("loss", (np.zeros(1, np.int64), np.array([[loss]])))
+
+    return full.select("h", "r", "t", "neg_t", "hv", "rv", "tv", "nv").mapInArrow(run, "kind string, id bigint, g array<double>")
+
+
+def train_epoch(triples: DataFrame, state: DataFrame, model: str, epoch: int, n_entities: int, n_triples: int, parts: int,
+                lr: float = 1e-3, seed: int = 42, small: bool = False) -> DataFrame:
+    """One full-batch epoch: join, gradients summed per id, and an Adam step of each part of ids.
+
+    ``state`` holds all vectors with their optimiser state, and so does the result, which
+    also has the epoch's loss as rows of kind ``loss``. It is one job with one table to write. With ``small`` the
+    entity vectors, counted by the caller, are broadcast; otherwise the joins shuffle.
+    """
+    entities, relations = (state.where(F.col("kind") == k).select("id", "vec") for k in ("e", "r"))
+    entities = F.broadcast(entities) if small else entities
+    pairs = corrupt_tails(triples, n_entities, 1, seed + epoch)
+    full = with_vectors(pairs.select("h", "r", "t", "neg_t"), entities, F.broadcast(relations))
+    full = spread_join(full, entities.select(F.col("id").alias("neg_t"), F.col("vec").alias("nv")), ["neg_t"])
+    sums = gradient_sums(full, model, n_triples).withColumn("part", part_of(parts))
+    b1, b2, eps = 0.9, 0.999, 1e-8
+
+    def step(key, own: pa.Table, grads: pa.Table) -> pa.Table:
+        kind, part = key[0].as_py(), key[1].as_py()
+        if kind == "loss":
+            total = np.array([[matrix(grads["g"].combine_chunks()).sum()]])
+            none = pa.array([[]], _VECTOR)
+            return pa.table([pa.array([kind]), pa.array([part], pa.int32()), pa.array([epoch], pa.int64()), _lists(total), none, none], schema=_STATE)
+        if not own.num_rows:
+            return _STATE.empty_table()
+        own = own.sort_by("id").combine_chunks()
+        ids = own["id"].to_numpy()
+        vec, m, v = (matrix(own[c].combine_chunks()) for c in ("vec", "m", "v"))
+        g = np.zeros_like(vec)
+        if grads.num_rows:
+            at, summed = sum_rows(grads["id"].to_numpy(), matrix(grads["g"].combine_chunks()))
+            place = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+            known = ids[place] == at
+            g[place[known]] = summed[known]
+        m, v = m * b1 + g * (1 - b1), v * b2 + g * g * (1 - b2)
+        vec = vec - lr * (m / (1 - b1 ** epoch)) / (np.sqrt(v / (1 - b2 ** epoch)) + eps)
+        return pa.table([own["kind"], own["part"], own["id"], _lists(vec), _lists(m), _lists(v)], schema=_STATE)
+
+    key = ["kind", "part"]
+    return state.where("kind <> 'loss'").groupBy(*key).cogroup(sums.groupBy(*key)).applyInArrow(step, STATE)
+
+
+def part_of(parts: int) -> Column:
+    return F.when(F.col("kind") == "e", F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(0).cast("int")
 
 
 def initial_vectors(ids: DataFrame, dim: int, seed: int, bound: float) -> DataFrame:
@@ -255,7 +306,12 @@ def initial_vectors(ids: DataFrame, dim: int, seed: int, bound: float) -> DataFr
 
 def fit(triples: DataFrame, entity_ids: DataFrame, relation_ids: DataFrame, model: str, dim: int = 128,
         epochs: int = 100, lr: float = 1e-3, seed: int = 42):
-    """Trains one model; returns entity vectors, relation vectors and the loss history."""
+    """Trains one model; returns entity vectors, relation vectors and the loss history.
+
+    Each epoch writes the state once and the next one reads it, so no plan grows and a lost
+    executor costs an epoch at most. Losses are read from the written states at the end.
+    """
+    spark = triples.sparkSession
     n_entities, n_relations = entity_ids.count(), relation_ids.count()
     rel_dim = dim // 2 if model == "rotate" else dim
     rel_bound = 3.14159 if model == "rotate" else float(np.sqrt(6.0 / (n_relations + dim)))
@@ -263,11 +319,16 @@ def fit(triples: DataFrame, entity_ids: DataFrame, relation_ids: DataFrame, mode
     if model == "transe":
         entities = normalise(entities)
     relations = initial_vectors(relation_ids, rel_dim, seed + 1, rel_bound)
-    entities, relations, triples = cut_lineage(entities), cut_lineage(relations), cut_lineage(triples)
+    parts = max(1, min(parallelism(spark), n_entities), -(-n_entities // PART_ROWS))
+    both = entities.withColumn("kind", F.lit("e")).unionByName(relations.withColumn("kind", F.lit("r"))).withColumn("part", part_of(parts))
+    triples, state, paths = cut_lineage(triples), cut_lineage(both.select(*_STATE.names)), []
     n_triples = triples.count()
-    history = []
     for epoch in range(1, epochs + 1):
-        entities, relations, loss = train_epoch(triples, entities, relations, model, epoch, n_entities, n_triples,
-                                                (dim, rel_dim), lr, seed)
-        history.append(loss)
-    return entities, relations, history
+        moved = train_epoch(triples, state, model, epoch, n_entities, n_triples, parts, lr, seed, n_entities * dim <= BROADCAST_NUMBERS)
+        paths.append(side_table(spark, "epoch"))
+        moved.write.parquet(paths[-1])
+        state = spark.read.schema(STATE).parquet(paths[-1])
+    losses = spark.read.schema(STATE).parquet(*paths).where("kind = 'loss'").select("id", F.col("vec")[0].alias("loss")).collect() if paths else []
+    history = dict.fromkeys(range(1, epochs + 1), 0.0) | {r.id: r.loss for r in losses}
+    entities, relations = (state.where(F.col("kind") == k).select("id", "vec", "m", "v") for k in ("e", "r"))
+    return entities, relations, [history[e] for e in range(1, epochs + 1)]

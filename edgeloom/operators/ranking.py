@@ -84,6 +84,16 @@ def assign_rank(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
+def raw_ranks(candidates: DataFrame, terms: Sequence[str], name: str = "original_name") -> DataFrame:
+    """Ranks before entity resolution of the candidates whose name holds one of the terms.
+
+    ``candidates`` is a list already cut to a report length, with several rows an entity.
+    """
+    order = Window.orderBy(F.col("score").desc(), *TIE_ORDER)
+    ranked = candidates.withColumn("raw_rank", F.row_number().over(order).cast("bigint"))
+    return ranked.where(has_any(F.lower(name), terms))
+
+
 def category_share(ranked: DataFrame, top_n: int, name: str = "canonical_name",
                    patterns: Sequence[tuple[str, str]] = constants.CATEGORY_PATTERNS) -> DataFrame:
     """Count and percentage per category among the first ``top_n`` ranks."""

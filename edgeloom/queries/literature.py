@@ -55,13 +55,16 @@ def article_xml(t):
         F.lit("</History></PubmedData></PubmedArticle>")).alias("xml"))
 
 
-@query("S4_article_dates_from_xml", """
+XML_SQL = """
     SELECT pmid, pub_date FROM (SELECT CAST(doc_id AS VARCHAR) AS pmid, CASE doc_id % 5
         WHEN 0 THEN concat(1980 + doc_id % 40, '-', lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0'), '-07')
         WHEN 1 THEN concat(1980 + doc_id % 40, '-', lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0'), '-01')
         WHEN 2 THEN '1900-01-01'
         WHEN 3 THEN concat(1980 + doc_id % 40, '-Jan-01') ELSE NULL END AS pub_date FROM documents)
-    WHERE pub_date IS NOT NULL""")
+    WHERE pub_date IS NOT NULL"""
+
+
+@query("S4_article_dates_from_xml", XML_SQL)
 def xml_dates(t):
     parsed = article_xml(t).select(F.from_xml("xml", readers.ARTICLE_SCHEMA).alias("a")).select("a.*")
     return readers.article_dates(parsed)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from edgeloom import constants as C
 from edgeloom.functions.scalar import tidy
 from edgeloom.operators import ranking as R
+from edgeloom.operators import scoring as S
+from edgeloom.plans.global_ranking import attach_names
 from edgeloom.queries.metrics import SEEDS_SQL, seed_metrics
 from edgeloom.queries.registry import query
-from edgeloom.queries.scoring import FORMS, RANKED_SQL, ranked_targets
+from edgeloom.queries.scoring import FORMS, RANKED_SQL, TOP_SQL, ranked_targets, ranked_types
 
 PATTERNS = [("Odd", "entity-[13579]"), ("Low", "entity-[0-4]"), ("Seven", "FORM [0-6]$|form three"),
             ("One", "entity one")]
@@ -85,6 +87,19 @@ def final_rank(t):
     return ranked_targets(t).select("rank", "canonical_name")
 
 
+RAW_TERMS = ["entity-1", "form 3"]
+
+
+@query("W5_raw_rank", f"""
+    SELECT * FROM (SELECT src_type, rel, src, dst, src_name AS original_name, sc AS score,
+                          row_number() OVER (ORDER BY sc DESC, src_type, rel, src, dst) AS raw_rank
+                   FROM (SELECT * FROM ({TOP_SQL}) ORDER BY sc DESC, src_type, rel, src, dst LIMIT 2000))
+    WHERE contains(lower(original_name), 'entity-1') OR contains(lower(original_name), 'form 3')""")
+def raw_rank(t):
+    top = S.merge_top(S.top_pairs(t.vectors, ranked_types(), t.known, 2000).drop("rank"), 2000)
+    return R.raw_ranks(attach_names(top, t.vectors), RAW_TERMS).select("src_type", "rel", "src", "dst", "original_name", "score", "raw_rank")
+
+
 @query("T4_head_table", f"""
     SELECT pos AS rank, substr(canonical, 1, 35) AS target, src_type AS type, round(sc, 2) AS score,
            substr(dst_name, 1, 20) AS disease FROM ({RANKED_SQL}) WHERE pos <= 10""")

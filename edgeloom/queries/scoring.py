@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgeloom.functions.scalar import tidy
+from edgeloom.functions.scalar import tidy, vector_text
 from edgeloom.operators import graph as G
 from edgeloom.operators import kge as K
 from edgeloom.operators import metrics as M
@@ -259,17 +259,12 @@ def train_inputs(t):
     return triples, rows.select("id"), relations
 
 
-def register_training(key, model):
-    @query(key)
-    def training(t):
-        triples, entity_ids, relation_ids = train_inputs(t)
-        _, _, history = K.fit(triples, entity_ids, relation_ids, model, dim=16, epochs=3, lr=0.01)
-        return t.spark.createDataFrame(
-            [(i + 1, round(x, 6)) for i, x in enumerate(history)], "epoch int, loss double")
-
-
-register_training("K8_training_epochs", "distmult")
-register_training("K8_training_epochs_rotate", "rotate")
+@query("K8_training_epochs")
+def training(t):
+    # The reference's size: 128 dimensions, 100 epochs.
+    triples, entity_ids, relation_ids = train_inputs(t)
+    _, _, history = K.fit(triples, entity_ids, relation_ids, "distmult")
+    return t.spark.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(history)], "epoch int, loss double")
 
 
 @query("N3_tail_corruption", """
@@ -283,16 +278,88 @@ def tail_corruption(t):
     return K.corrupt_tails(triples, t.read("embeddings").count(), 3).withColumn("copy", F.col("copy").cast("bigint"))
 
 
-def start_sql(seed, key, bound):
-    """Seeded start vectors of 16 numbers, as in the first training epoch."""
+def start_sql(seed, key, bound, dim=16):
+    """Seeded start vectors, as in the first training epoch."""
     u = (f"('0x' || substr(md5(concat_ws('|', '{seed}', {key}, i)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE")
-    return f"list_transform(range(1, 17), lambda i: ({u} * 2 - 1) * sqrt(6.0::DOUBLE / {bound}))"
+    return f"list_transform(range(1, {dim + 1}), lambda i: ({u} * 2 - 1) * {bound})"
+
+
+def each(expr, n=16):
+    return f"[{expr} FOR j IN range(1, {n + 1})]"
+
+
+def gradient_sql(model, rows, tail):
+    """Score ``s`` and gradients ``gh``, ``gr``, ``gt`` of rows with vectors ``h``, ``r`` and the tail."""
+    t = tail
+    if model == "distmult":
+        return f"""SELECT *, list_sum({each(f'h[j] * r[j] * {t}[j]')}) AS s, {each(f'r[j] * {t}[j]')} AS gh, {each(f'h[j] * {t}[j]')} AS gr,
+            {each('h[j] * r[j]')} AS gt FROM ({rows})"""
+    if model == "complex":
+        parts = f"""list_sum({each(f'h[j] * r[j] * {t}[j] + h[j] * r[j + 8] * {t}[j + 8] + h[j + 8] * r[j] * {t}[j + 8] - h[j + 8] * r[j + 8] * {t}[j]', 8)}) AS s,
+            {each(f'r[j] * {t}[j] + r[j + 8] * {t}[j + 8]', 8)} || {each(f'r[j] * {t}[j + 8] - r[j + 8] * {t}[j]', 8)} AS gh,
+            {each(f'h[j] * {t}[j] + h[j + 8] * {t}[j + 8]', 8)} || {each(f'h[j] * {t}[j + 8] - h[j + 8] * {t}[j]', 8)} AS gr,
+            {each('h[j] * r[j] - h[j + 8] * r[j + 8]', 8)} || {each('h[j] * r[j + 8] + h[j + 8] * r[j]', 8)} AS gt"""
+        return f"SELECT *, {parts} FROM ({rows})"
+    if model == "transe":
+        gap = f"SELECT *, {each(f'h[j] + r[j] - {t}[j]')} AS gap FROM ({rows})"
+        unit = f"SELECT *, {each('gap[j] / dist')} AS u FROM (SELECT *, sqrt(list_sum({each('gap[j] * gap[j]')})) + 1e-12 AS dist FROM ({gap}))"
+        return f"SELECT * EXCLUDE (gap, dist, u), -dist AS s, {each('-u[j]')} AS gh, {each('-u[j]')} AS gr, u AS gt FROM ({unit})"
+    turned = f"""SELECT *, {each('h[j] * cos(r[j]) - h[j + 8] * sin(r[j])', 8)} AS re, {each('h[j] * sin(r[j]) + h[j + 8] * cos(r[j])', 8)} AS im FROM ({rows})"""
+    gap = f"SELECT *, {each(f're[j] - {t}[j]', 8)} || {each(f'im[j] - {t}[j + 8]', 8)} AS gap FROM ({turned})"
+    unit = f"SELECT *, {each('gap[j] / dist')} AS u FROM (SELECT *, sqrt(list_sum({each('gap[j] * gap[j]')})) + 1e-12 AS dist FROM ({gap}))"
+    return f"""SELECT * EXCLUDE (gap, dist, u, re, im), -dist AS s,
+        {each('-(u[j] * cos(r[j]) + u[j + 8] * sin(r[j]))', 8)} || {each('-(-u[j] * sin(r[j]) + u[j + 8] * cos(r[j]))', 8)} AS gh,
+        {each('-(-u[j] * im[j] + u[j + 8] * re[j])', 8)} AS gr, u AS gt FROM ({unit})"""
+
+
+def first_epoch_sql(model):
+    """All vectors after one epoch: start, gradients of every triple summed by id, one Adam step."""
+    rel_dim, rel_bound = (8, "3.14159::DOUBLE") if model == "rotate" else (16, "sqrt(6.0::DOUBLE / 18)")
+    start = f"SELECT vec_id AS id, {start_sql(42, 'vec_id', 'sqrt(6.0::DOUBLE / (ne + 16))')} AS v FROM embeddings, n"
+    if model == "transe":
+        start = f"SELECT id, list_transform(v, lambda x: x * (1.0::DOUBLE / greatest(w, 1e-12))) AS v FROM (SELECT *, sqrt(list_sum({each('v[j] * v[j]')})) AS w FROM ({start}))"
+    margin = {"transe": 1.0, "rotate": 6.0}.get(model)
+    if margin:
+        weights = f"CASE WHEN sn - sp + {margin}::DOUBLE > 0 THEN -1.0::DOUBLE / nt ELSE 0 END AS wp, CASE WHEN sn - sp + {margin}::DOUBLE > 0 THEN 1.0::DOUBLE / nt ELSE 0 END AS wn"
+    else:
+        weights = "-1.0::DOUBLE / (1.0 + exp(sp)) / (2 * nt) AS wp, 1.0::DOUBLE / (1.0 + exp(-sn)) / (2 * nt) AS wn"
+    seen = f"SELECT * RENAME (s AS sp, gh AS ph, gr AS pr, gt AS pt) FROM ({gradient_sql(model, 'SELECT * FROM p', 't')})"
+    both = f"SELECT *, s AS sn FROM ({gradient_sql(model, seen, 'x')})"
+    return f"""
+    WITH n AS (SELECT COUNT(*) AS ne FROM embeddings),
+    e AS MATERIALIZED ({start}),
+    r AS MATERIALIZED (SELECT id, {start_sql(43, 'id', rel_bound, rel_dim)} AS v FROM (VALUES (0), (1)) x(id)),
+    k AS (SELECT src AS h, CASE rel WHEN 'PROMOTES' THEN 1 ELSE 0 END AS r, dst AS t FROM g_known),
+    c AS (SELECT *, CAST(floor(('0x' || substr(md5(concat_ws('|', '43', h, r, t, 1)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * ne) AS BIGINT) AS x FROM k, n),
+    p AS MATERIALIZED (SELECT c.h AS hid, c.r AS rid, c.t AS tid, c.x AS xid, a.v AS h, r.v AS r, b.v AS t, d.v AS x, (SELECT COUNT(*) FROM k) AS nt
+          FROM c JOIN e a ON a.id = c.h JOIN r ON r.id = c.r JOIN e b ON b.id = c.t JOIN e d ON d.id = c.x),
+    w AS MATERIALIZED (SELECT *, {weights} FROM ({both})),
+    g AS (SELECT 'e' AS kind, hid AS id, {each('wp * ph[j] + wn * gh[j]')} AS g FROM w
+          UNION ALL SELECT 'r', rid, {each('wp * pr[j] + wn * gr[j]', rel_dim)} FROM w
+          UNION ALL SELECT 'e', tid, {each('wp * pt[j]')} FROM w UNION ALL SELECT 'e', xid, {each('wn * gt[j]')} FROM w),
+    s AS (SELECT kind, id, i, SUM(x) AS x FROM (SELECT kind, id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM g) GROUP BY ALL),
+    v AS (SELECT 'e' AS kind, id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e UNION ALL SELECT 'r', id, unnest(v), generate_subscripts(v, 1) FROM r)
+    SELECT kind, id, string_agg(CAST(CAST(round((v.x - 0.01::DOUBLE * COALESCE(s.x, 0) / (abs(COALESCE(s.x, 0)) + 1e-8)) * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vec
+    FROM v LEFT JOIN s USING (kind, id, i) GROUP BY kind, id"""
+
+
+def register_first_epoch(model):
+    @query(f"K8_first_epoch_{model}", first_epoch_sql(model))
+    def first_vectors(t):
+        triples, entity_ids, relation_ids = train_inputs(t)
+        entities, relations, _ = K.fit(triples, entity_ids, relation_ids, model, dim=16, epochs=1, lr=0.01)
+        both = entities.select(F.lit("e").alias("kind"), "id", "vec").unionByName(relations.select(F.lit("r").alias("kind"), "id", "vec"))
+        return both.withColumn("vec", vector_text(F.col("vec")))
+
+
+for model in K.SCORERS:
+    register_first_epoch(model)
 
 
 @query("K8_first_epoch_loss", f"""
     WITH n AS (SELECT COUNT(*) AS ne FROM embeddings),
-    e AS (SELECT vec_id, {start_sql(42, 'vec_id', '(ne + 16)')} AS v FROM embeddings, n),
-    r AS (SELECT rid, {start_sql(43, 'rid', '18')} AS v FROM (VALUES (0), (1)) x(rid)),
+    e AS (SELECT vec_id, {start_sql(42, 'vec_id', 'sqrt(6.0::DOUBLE / (ne + 16))')} AS v FROM embeddings, n),
+    r AS (SELECT rid, {start_sql(43, 'rid', 'sqrt(6.0::DOUBLE / 18)')} AS v FROM (VALUES (0), (1)) x(rid)),
     k AS (SELECT src AS h, CASE rel WHEN 'PROMOTES' THEN 1 ELSE 0 END AS r, dst AS t FROM g_known),
     p AS (SELECT k.*, CAST(floor(('0x' || substr(md5(concat_ws('|', '43', h, r, t, 1)), 1, 13))::BIGINT
               / 4503599627370496.0::DOUBLE * ne) AS BIGINT) AS x FROM k, n),

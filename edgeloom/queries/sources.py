@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgeloom.functions.scalar import layer_norm, vector_text
 from edgeloom.operators import evidence as E
 from edgeloom.operators import graph as G
 from edgeloom.operators import splits as S
 from edgeloom.queries.evidence import MASK_SQL
+from edgeloom.queries.features import norm_sql, text_sql
+from edgeloom.queries.literature import XML_SQL, article_xml
 from edgeloom.queries.registry import query
 from edgeloom.queries.scoring import RANKED_SQL, ranked_targets
 from edgeloom.queries.splits import STRAT_SQL
@@ -115,5 +118,36 @@ def nested_json(t):
         F.col("n_name").alias("gene"), F.col("n_regionkey").cast("bigint").alias("chromosome"),
         F.lit("NATION").alias("source"))).alias("targets"))
     records.select("targets").write.json(path)
-    return t.spark.read.schema("targets array<struct<gene:string,chromosome:bigint,source:string>>").json(path).select(
-        F.explode("targets").alias("r")).select("r.*")
+    return R.read_target_list(t.spark, path, "targets", "gene:string,chromosome:bigint,source:string", multi_line=False)
+
+
+@query("S4_article_files", XML_SQL)
+def article_files(t):
+    # Records as files of the citation index, many to a file; the reader splits files by record.
+    path = side_table(t.spark, "articles")
+    article_xml(t).write.text(path)
+    return R.article_dates(R.read_articles(t.spark, path, whole_files=False))
+
+
+FEATURE_SQL = f"""
+    WITH k AS (SELECT *, CASE (src // 4 + dst) % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM g_known),
+    n AS (SELECT DISTINCT split, src_type AS node_type, src AS idx FROM k UNION SELECT DISTINCT split, dst_type, dst FROM k),
+    f AS ({norm_sql("SELECT concat(n.split, '|', n.node_type) AS node_type, n.idx, v.vec FROM n JOIN g_vectors v ON v.node_type = n.node_type AND v.idx = n.idx")})
+    SELECT split_part(node_type, '|', 1) AS split, split_part(node_type, '|', 2) AS node_type, idx, {text_sql('vec')} AS vec FROM f"""
+
+
+@query("S12_feature_tables", FEATURE_SQL)
+def feature_tables(t):
+    path = side_table(t.spark, "dataset")
+    part = (F.floor(F.col("src") / 4) + F.col("dst")) % 5
+    edges = t.known.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train"))
+    vectors = t.vectors.select("node_type", "idx", layer_norm(F.col("vec")).alias("vec"))
+    back = None
+    for split in ("train", "val", "test"):
+        own = edges.where(F.col("split") == split)
+        nodes = own.select(F.explode(F.array(F.struct(F.col("src_type").alias("node_type"), F.col("src").alias("idx")),
+                                             F.struct(F.col("dst_type").alias("node_type"), F.col("dst").alias("idx")))).alias("n")).select("n.*").distinct()
+        W.write_features(vectors.join(nodes, ["node_type", "idx"], "left_semi"), path, split)
+        table = R.read_features(t.spark, path, split).select(F.lit(split).alias("split"), "node_type", "idx", vector_text(F.col("vec")).alias("vec"))
+        back = table if back is None else back.unionByName(table)
+    return back

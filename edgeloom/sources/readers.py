@@ -19,9 +19,13 @@ CANDIDATE_SCHEMA = ("rank bigint, canonical_name string, original_name string, s
                     "disease string, score double, relation string, is_par2 boolean")
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Citation-index XML files, one row per article."""
-    return spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE_SCHEMA).load(path)
+def read_articles(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Citation-index XML files, one row per article.
+
+    A file is one document and one task. With ``whole_files=False`` files are split among tasks at
+    record tags, and need no root element.
+    """
+    return spark.read.format("xml").option("rowTag", "PubmedArticle").option("multiLine", whole_files).schema(ARTICLE_SCHEMA).load(path)
 
 
 def _stamp_text(stamp: Column) -> Column:
@@ -56,13 +60,22 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CANDIDATE_SCHEMA).option("multiLine", True).json(path)
 
 
-def read_target_list(spark: SparkSession, path: str, field: str, record: str) -> DataFrame:
-    """Rows of the record array ``field`` of nested JSON documents."""
+def read_target_list(spark: SparkSession, path: str, field: str, record: str, multi_line: bool = True) -> DataFrame:
+    """Rows of the record array ``field`` of nested JSON documents.
+
+    A file of one indented document is one task. Files with a document a line
+    (``multi_line=False``) are split among tasks.
+    """
     schema = f"{field} array<struct<{record}>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path).select(
         F.explode(field).alias("r")).select("r.*")
 
 
+def read_features(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The feature table of one split, as ``write_features`` leaves it."""
+    return spark.read.schema("idx bigint, vec array<double>, node_type string").parquet(f"{path}/features/{split}")
+
+
 def clean_statistics(table: DataFrame, gene: str, stat: str, file_order: Column) -> DataFrame:
     """Upper-cased genes with a statistic; the first row per gene in file order wins."""
     rows = table.where(F.col(stat).isNotNull()).select(

@@ -47,6 +47,7 @@ def write_dataset(split_edges: DataFrame, report: Callable[[DataFrame], DataFram
 
 
 def write_features(features: DataFrame, path: str, split: str) -> None:
+    """Node features of one split, a folder for each node type."""
     features.write.mode("errorifexists").partitionBy("node_type").parquet(f"{path}/features/{split}")
 
 

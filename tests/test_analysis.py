@@ -12,8 +12,11 @@ from edgeloom.operators import enrichment as E
 from edgeloom.operators import evidence as V
 from edgeloom.operators import expression as X
 from edgeloom.operators import features as FE
+from edgeloom.operators import lowrank as LR
 from edgeloom.operators import ranking as R
+from edgeloom.operators import skipgram as SG
 from edgeloom.plans.global_ranking import rank_targets
+from edgeloom.session import cut_lineage
 
 
 def test_overlap(spark):
@@ -212,15 +215,86 @@ def test_walk_vectors_isolated_and_empty(spark):
     assert len(out) == 4 and out[3] == [0.0] * 8 and any(out[0])
     noise = FE.walk_vectors(nodes, edges.limit(0), dim=8).first().vec
     assert any(noise) and max(map(abs, noise)) <= 0.01
-    walks = FE.random_walks(edges, 5, 3)
-    factored = FE._factorised(walks, 4, 2, 1)
-    assert factored.count() == 3 and len(factored.first().vec) == 4
+    again = {r.id: r.vec for r in FE.walk_vectors(nodes, edges.repartition(3), dim=8, walk_length=5, walks_per_node=3, window=2).collect()}
+    assert again == out
+
+
+def test_walk_vectors_predict_links(spark):
+    """Held-out links of a graph with groups: better than vectors from factored counts of the same walks."""
+    rng = np.random.default_rng(12)
+    group = rng.integers(0, 6, 150)
+    pairs = [(i, j) for i in range(150) for j in range(i) if rng.random() < (0.25 if group[i] == group[j] else 0.01)]
+    rng.shuffle(pairs)
+    held, kept = pairs[:len(pairs) // 5], pairs[len(pairs) // 5:]
+    walks = FE.random_walks(spark.createDataFrame([tuple(map(int, p)) for p in kept], "a long, b long"), 12, 12)
+    counts = cut_lineage(SG.window_pairs(walks, 4))
+    learned = {r.id: np.array(r.vec) for r in SG.skipgram_vectors(counts, 16, epochs=4).collect()}
+    log_counts = counts.select("a", "b", F.log1p("n").alias("v"))
+    factored = {r.id: np.array(r.vec) for r in LR.symmetric_vectors(log_counts, 16).collect()}
+    known = {frozenset(p) for p in pairs}
+    others = [(i, j) for i in range(150) for j in range(i) if frozenset((i, j)) not in known]
+
+    def auroc(vectors):
+        near = lambda p: vectors[p[0]] @ vectors[p[1]] / np.linalg.norm(vectors[p[0]]) / np.linalg.norm(vectors[p[1]])
+        scores = [[near(p) for p in part if p[0] in vectors and p[1] in vectors] for part in (held, others)]
+        return np.mean([(x > np.array(scores[1])).mean() for x in scores[0]])
+
+    assert auroc(learned) > 0.8 and auroc(learned) > auroc(factored)
 
 
 def test_text_vectors_empty_text_is_zero(spark):
-    texts = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None)], "id long, text string")
-    out = {r.id: r.vec for r in FE.text_vectors(texts, dim=4).collect()}
-    assert any(out[1]) and out[2] == [0.0] * 4 and out[3] == [0.0] * 4
+    texts = spark.createDataFrame([(1, "alpha beta alpha beta"), (2, ""), (3, None), (1, "alpha beta alpha beta"), (4, "--- ---")], "id long, text string")
+    rows = FE.text_vectors(texts, dim=4).collect()
+    assert len(rows) == 5 and all(r.vec == [0.0] * 4 for r in rows if r.id in (2, 3, 4))
+    assert len({tuple(r.vec) for r in rows if r.id == 1}) == 1 and any(rows[0].vec) | any(rows[1].vec)
+    assert FE.text_vectors(texts.limit(0), dim=4).count() == 0
+
+
+def test_tokens_of_like_use_have_like_vectors(spark):
+    """Two words that stand in the same places, and one that stands in others."""
+    rng = np.random.default_rng(2)
+    places, others = ["red", "blue", "green", "grey"], ["seven", "nine", "three", "five"]
+    lines = []
+    for i in range(900):
+        noun, words = [("car", places), ("auto", places), ("sum", others)][i % 3]
+        lines.append((i, " ".join([rng.choice(words), noun, rng.choice(words), rng.choice(words)])))
+    learned = {r.token: np.array(r.vec) for r in FE.token_vectors(spark.createDataFrame(lines, "id long, text string"), dim=6, window=2).collect()}
+
+    def cosine(a, b):
+        return learned[a] @ learned[b] / np.linalg.norm(learned[a]) / np.linalg.norm(learned[b])
+
+    assert cosine("car", "auto") > 0.9 > 0.5 > cosine("car", "sum")
+
+
+def test_symmetric_vectors_match_eigenvectors(spark):
+    rng = np.random.default_rng(8)
+    half = rng.normal(size=(60, 4)) * [4, 3, 2, 1]
+    full = half @ half.T
+    cells = spark.createDataFrame([(int(i), int(j), float(full[i, j])) for i in range(60) for j in range(60)], "a long, b long, v double").repartition(20)
+    got = {r.id: r.vec for r in LR.symmetric_vectors(cells, 4).collect()}
+    found = np.array([got[i] for i in range(60)])
+    assert np.allclose(found @ found.T, full, atol=1e-6)
+
+
+@pytest.mark.parametrize("n, width, k", [(400, 60, 12), (30, 768, 128), (50, 8, 8)])
+def test_principal_components_match_numpy(spark, n, width, k):
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(n, width)) * (0.8 ** np.arange(width)) @ np.linalg.qr(rng.normal(size=(width, width)))[0] + 3.0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)] + [(n, None)], "id long, vec array<double>").repartition(21)
+    mean, components, variances, total = LR.principal_components(rows.where("vec is not null"), k)
+    _, s, vt = np.linalg.svd(data - data.mean(axis=0), full_matrices=False)
+    real = min(k, n - 1, width)
+    assert np.allclose(mean, data.mean(axis=0)) and abs(total - data.var(axis=0, ddof=1).sum()) < 1e-9
+    assert np.allclose(variances[:real], (s ** 2 / (n - 1))[:real], rtol=1e-6, atol=1e-12) and (np.diff(variances) <= 1e-12).all()
+    kept = int((variances > variances[0] * 1e-8).sum())
+    assert np.allclose(components[:kept] @ components[:kept].T, np.eye(kept), atol=1e-8)
+    centred = data - mean
+    lost = np.linalg.norm(centred - centred @ components.T @ components) ** 2
+    assert lost <= (s[real:] ** 2).sum() * 1.01 + 1e-6
+    reduced, shares = FE.reduce_dimension(rows, k)
+    got = {r.id: r.vec for r in reduced.collect()}
+    assert got[n] is None and len(got) == n + 1 and np.allclose(got[3], (data[3] - mean) @ components.T, atol=1e-9)
+    assert shares.sum() <= 1 + 1e-9
 
 
 def test_ranking_plan_has_no_cross_join(spark):

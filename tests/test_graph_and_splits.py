@@ -1,5 +1,6 @@
 """Graph loading, splits, negatives, literature and the dataset plan."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,49 @@ def test_every_free_pair_is_returned_when_all_are_wanted(spark):
     for n, want in ((2, 12), (5, 30), (9, 30)):
         got = {(r.src, r.dst) for r in N.degree_preserving(edges, nodes, n).collect()}
         assert len(got) == want and all(a != b for a, b in got)
+
+
+def test_names_found_by_grams(spark):
+    """Against plain containment: short, empty, repeated and missing terms, letters of any case."""
+    rng = np.random.default_rng(6)
+    names = [("G", i, "".join(rng.choice(list("abAB c-é"), rng.integers(0, 9)))) for i in range(300)] + [("G", 300, None), ("D", 1, "Abcab"), ("D", 0, "xxabcab")]
+    nodes = spark.createDataFrame([(k, n, i) for k, i, n in names], "node_type string, name string, idx long")
+    terms = {("".join(rng.choice(list("abAB cé"), rng.integers(0, 6)))) for _ in range(60)} | {"", "zzz", "ABCAB", "É"}
+    asked = spark.createDataFrame([(k, t) for t in terms for k in ("G", "D")] * 2 + [("none", "a"), ("G", None)], "node_type string, term string")
+    got = {(r.node_type, r.term): r.idx for r in N.containing_names(nodes, asked).collect()}
+    want = {}
+    for kind in ("G", "D"):
+        for term in terms:
+            held = [i for k, i, n in names if k == kind and n is not None and term.lower() in n.lower()]
+            if held:
+                want[kind, term] = min(held)
+    assert got == want
+    plan = N.containing_names(nodes, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert N.containing_names(nodes, asked.limit(0)).count() == 0
+
+
+def test_gap_index_reaches_every_free_pair_alike(spark):
+    """Raw draws of a small graph: no positive pair, and frequencies as the weights say."""
+    edges = spark.createDataFrame([("A", "R", "B", s, d) for s, d in [(0, 0), (0, 1), (0, 2), (0, 4), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]],
+                                  "src_type string, rel string, dst_type string, src long, dst long")
+    nodes = spark.createDataFrame([("A", i) for i in range(4)] + [("B", i) for i in range(5)], "node_type string, idx long")
+    keyed, kinds = N._keyed(edges)
+    index = N.gap_index(keyed, nodes, N._within(keyed.select(N.KEY, "src", "dst"), nodes, kinds))
+    draws = 20_000
+    seen = {(r.src, r.dst): r["count"] for r in N.weighted_draws(index, {0: draws}).groupBy("src", "dst").count().collect()}
+    positive = {(r.src, r.dst) for r in edges.collect()}
+    out = {s: 1 + sum(a == s for a, _ in positive) for s in range(4)}
+    into = {d: 1 + sum(b == d for _, b in positive) for d in range(5)}
+    free = {s: [d for d in range(5) if (s, d) not in positive] for s in range(4)}
+    total = sum(out[s] for s in free if free[s])
+    want = {(s, d): draws * out[s] / total * into[d] / sum(into[x] for x in free[s]) for s in free for d in free[s]}
+    assert set(seen) == set(want) and sum(seen.values()) == draws
+    assert all(abs(seen[p] - want[p]) < 5 * np.sqrt(want[p]) for p in want)
+
+
+def test_first_draws_cut_exactly(spark):
+    rows = spark.createDataFrame([(k, i, i, i * 7 % 1000 + (k == 1) * 10 ** 9) for k in (0, 1, 2) for i in range(1000)], "_rel int, src long, dst long, draw long")
+    kept = N.first_draws(rows, {0: 17, 1: 999, 2: 5000}, fan=8)
+    got = {k: sorted(r.draw for r in kept.where(f"_rel = {k}").collect()) for k in (0, 1, 2)}
+    assert got[0] == list(range(17)) and got[1] == [10 ** 9 + i for i in range(999)] and len(got[2]) == 1000
