@@ -10,6 +10,7 @@ side is repeated only once per block of the other side.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.functions.scalar import norm
+from edgeloom.operators.skew import spread_join
 from edgeloom.session import parallelism
 
 BLOCK = 2048
@@ -71,17 +74,95 @@ def _lookup(counts: dict[str, int], key: Column) -> Column:
     return F.create_map(*entries)[key]
 
 
+BANDS = 32
+#: Relative slack of norm bounds, far over the rounding of a product and of a score.
+SLACK = 1e-6
+
+
+@dataclass(frozen=True)
+class Side:
+    """One side's bands of falling norm in one group: bounds between them, largest norm and rows of each."""
+
+    bounds: list[float]
+    tops: list[float]
+    rows: list[int]
+
+    def blocks(self, block: int) -> list[int]:
+        """Number of the first block of each band, and of all blocks."""
+        return [0, *np.cumsum([-(-n // block) for n in self.rows]).tolist()]
+
+
+def norm_bands(rows: DataFrame, vec: str, bands: int = BANDS) -> dict[str, Side]:
+    """Bands of ``rows(grp, <vec>)`` by group; groups are few, and so are the numbers of each."""
+    sized = rows.select("grp", norm(F.col(vec).cast("array<double>")).alias("norm"))
+    cuts = sized.groupBy("grp").agg(F.percentile_approx("norm", [i / bands for i in range(1, bands)], 1000).alias("cuts"))
+    bounds = {r.grp: sorted(set(r.cuts), reverse=True) for r in cuts.collect()}
+    counted = sized.groupBy("grp", band_of(bounds, F.col("norm")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()
+    found = {}
+    for group, own in bounds.items():
+        mine = {r.band: r for r in counted if r.grp == group}
+        places = range(len(own) + 1)
+        found[group] = Side(own, [mine[b].top if b in mine else 0.0 for b in places], [mine[b].n if b in mine else 0 for b in places])
+    return found
+
+
+def _by_group(values: dict[str, list], kind: str) -> Column:
+    entries = [x for g, v in sorted(values.items()) for x in (F.lit(g), F.array(*[F.lit(y) for y in v]).cast(f"array<{kind}>"))]
+    return F.create_map(*entries)[F.col("grp")]
+
+
+def band_of(bounds: dict[str, list[float]], size: Column) -> Column:
+    """0 for the largest norms: how many bounds of the group are above the norm."""
+    return F.size(F.filter(_by_group(bounds, "double"), lambda x: x > size))
+
+
+@dataclass(frozen=True)
+class Pruning:
+    """What cells of norm-ordered blocks can reach a group's score: bands of both sides, and the score by group."""
+
+    queries: dict[str, Side]
+    items: dict[str, Side]
+    floor: dict[str, float]
+
+    def reach(self, own: dict[str, Side], other: dict[str, Side], block: int) -> Column:
+        """How many blocks of the other side a row of ``norm`` has to meet: those of the bands whose largest norm reaches."""
+        tops = {g: other[g].tops for g in self.floor}
+        firsts = {g: other[g].blocks(block)[1:] for g in self.floor}
+        least = {g: [f] for g, f in self.floor.items()}
+        slack = 1.0 + SLACK
+        pairs = F.arrays_zip(_by_group(tops, "double").alias("top"), _by_group(firsts, "int").alias("upto"))
+        # A negative score is reached by any product of norms.
+        met = F.filter(pairs, lambda p: (p["top"] * F.col("norm") * slack + SLACK >= _by_group(least, "double")[0]))
+        return F.coalesce(F.array_max(F.transform(met, lambda p: p["upto"])), F.lit(0))
+
+    def cells(self, block: int) -> tuple[int, int]:
+        """All cells, and those that are skipped whole."""
+        every = skipped = 0
+        for g, floor in self.floor.items():
+            q, i = self.queries[g], self.items[g]
+            nq, ni = np.diff(q.blocks(block)), np.diff(i.blocks(block))
+            every += int(nq.sum() * ni.sum())
+            for top, n in zip(q.tops, nq):
+                # A row meets every band down to the last that reaches, as in ``reach``.
+                far = [b for b, other in enumerate(i.tops) if top * other * (1.0 + SLACK) + SLACK >= floor]
+                skipped += int(n * (ni.sum() - (ni[:max(far) + 1].sum() if far else 0)))
+        return every, skipped
+
+
 def score_blocks(queries: DataFrame, items: DataFrame, fold: Callable, schema: str, *,
                  known: DataFrame | None = None, views: dict[str, list[str]] | None = None,
-                 metric: str = "dot", block: int = BLOCK) -> DataFrame:
+                 metric: str = "dot", block: int = BLOCK, pruning: Pruning | None = None) -> DataFrame:
     """Runs ``fold`` on every cell of the query x item grid of each group.
 
     ``queries(grp, qid, qvec[, threshold])`` and ``items(grp, iid, ivec)`` share
     ``grp``; ``known(grp, view, qid, iid)`` lists pairs to skip, each sent to the
     one cell that scores it. ``views`` names several results wanted from the
     same scores of a group (relations over one type pair), each with its own
-    skipped pairs; the fold then reports the view name as ``grp``.
+    skipped pairs; the fold then reports the view name as ``grp``. With ``pruning`` blocks follow
+    falling norm, and a row goes only to blocks that can reach its group's score with it.
     """
+    if pruning is not None:
+        return _pruned(queries, items, fold, schema, known, views, metric, block, pruning)
     spread = max(1, int(parallelism(queries.sparkSession) ** 0.5))
     nq = _block_counts(queries, "grp", block, spread)
     ni = _block_counts(items, "grp", block, spread)
@@ -114,6 +195,41 @@ def score_blocks(queries: DataFrame, items: DataFrame, fold: Callable, schema: s
         F.explode(F.sequence(F.lit(0), _lookup(nq, F.col("grp")) - 1)).alias("_qb"),
         i_block().alias("_ib"))
 
+    return _run_cells(left, right, fold, schema, views, metric)
+
+
+def _pruned(queries, items, fold, schema, known, views, metric, block, pruning: Pruning) -> DataFrame:
+    shared = sorted(pruning.floor)
+    if not shared:
+        return queries.sparkSession.createDataFrame([], schema)
+    in_scope = F.col("grp").isin(shared)
+
+    def placed(rows: DataFrame, key: str, sides: dict[str, Side]) -> DataFrame:
+        """Adds the block of each row: its band's first block plus a hash over the band's blocks."""
+        firsts = _by_group({g: sides[g].blocks(block) for g in shared}, "int")
+        band = band_of({g: sides[g].bounds for g in shared}, F.col("norm"))
+        rows = rows.withColumn("_band", band).withColumn("_first", F.get(firsts, F.col("_band")))
+        width = F.greatest(F.get(firsts, F.col("_band") + 1) - F.col("_first"), F.lit(1))
+        return rows.withColumn("_block", (F.col("_first") + F.pmod(F.xxhash64(key), width)).cast("int")).drop("_band", "_first")
+
+    def upto(n: Column) -> Column:
+        return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+
+    q = placed(queries.where(in_scope).select("grp", "qid", F.col("qvec").cast("array<double>").alias("qvec")).withColumn("norm", norm(F.col("qvec"))), "qid", pruning.queries)
+    i = placed(items.where(in_scope).select("grp", "iid", F.col("ivec").cast("array<double>").alias("ivec")).withColumn("norm", norm(F.col("ivec"))), "iid", pruning.items)
+    left = q.select("grp", "qid", "qvec", F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("bigint").alias("skip"), F.lit(None).cast("string").alias("view"),
+                    F.col("_block").alias("_qb"), upto(pruning.reach(pruning.queries, pruning.items, block)).alias("_ib"))
+    right = i.select("grp", "iid", "ivec", upto(pruning.reach(pruning.items, pruning.queries, block)).alias("_qb"), F.col("_block").alias("_ib"))
+    if known is not None:
+        at_q = q.select("grp", "qid", F.col("_block").alias("_qb"))
+        at_i = i.select("grp", "iid", F.col("_block").alias("_ib"))
+        marked = spread_join(spread_join(known.where(in_scope).select("grp", "view", "qid", "iid"), at_q, ["grp", "qid"]), at_i, ["grp", "iid"])
+        left = left.unionByName(marked.select("grp", "qid", F.lit(None).cast("array<double>").alias("qvec"), F.lit(None).cast("double").alias("threshold"),
+                                              F.col("iid").alias("skip"), "view", "_qb", "_ib"))
+    return _run_cells(left, right, fold, schema, views, metric)
+
+
+def _run_cells(left: DataFrame, right: DataFrame, fold: Callable, schema: str, views: dict[str, list[str]] | None, metric: str) -> DataFrame:
     arrow_schema = _arrow_schema(schema)
 
     def cell(key, lt: pa.Table, rt: pa.Table) -> pa.Table:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from edgeloom import constants
 from edgeloom.operators.ordering import dense_number
-from edgeloom.operators.skew import spread_join
+from edgeloom.operators.skew import small_side, spread_join
+from edgeloom.session import cut_lineage
 
 EDGE_TYPE = ["src_type", "rel", "dst_type"]
 
@@ -202,6 +203,32 @@ def hub_flags(nodes: DataFrame, edges: DataFrame, threshold: int = constants.HUB
         ((F.coalesce("degree", F.lit(0)) >= threshold) | F.col("name").isin(list(names))).alias("is_hub"))
 
 
+#: Pairs that one middle node may make in a task, and rows of a block of a heavier one's ends.
+HEAVY_PAIRS, HEAVY_SIDE = 1 << 24, 1 << 12
+
+
+def sparse_product(left: DataFrame, right: DataFrame, heavy: int = HEAVY_PAIRS, side: int = HEAVY_SIDE) -> DataFrame:
+    """``(a, c, n)``: the product of ``left(a, b, n)`` and ``right(b, c, m)`` over ``b``.
+
+    A middle node that would make more than ``heavy`` pairs has both its sides cut into blocks
+    of about ``side`` rows; a block of one side meets each block of the other in a cell of its own. So
+    a hub's outer product is many bounded tasks; other nodes are joined as they are.
+    """
+    left, right = cut_lineage(left), cut_lineage(right)
+    sizes = left.groupBy("b").agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy("b").agg(F.count(F.lit(1)).alias("_r")), "b")
+    hubs = small_side(sizes.where(F.col("_l").cast("double") * F.col("_r") > heavy).select(
+        "b", F.ceil(F.col("_l") / side).cast("int").alias("_rows"), F.ceil(F.col("_r") / side).cast("int").alias("_cols")))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        met = rows.join(hubs, "b", "left")
+        place = F.coalesce(F.pmod(F.xxhash64(key), F.col(f"_{own}s")).cast("int"), F.lit(0))
+        return met.withColumn(f"_{own}", place).withColumn(
+            f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_{other}s"), F.lit(1)) - 1))).drop("_rows", "_cols")
+
+    cells = dealt(left, "a", "row", "col").join(dealt(right, "c", "col", "row"), ["b", "_row", "_col"])
+    return cells.groupBy("a", "c").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
 def meta_path(edges: DataFrame, hops: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Number of paths along a sequence of edge types, per end pair.
 
@@ -218,6 +245,5 @@ def meta_path(edges: DataFrame, hops: Sequence[tuple[str, str, str]]) -> DataFra
     paths = hop(hops[0])
     for triple in hops[1:]:
         step = hop(triple).select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
-        paths = spread_join(paths, step, ["b"]).groupBy("a", F.col("c").alias("b")).agg(
-            F.sum(F.col("n") * F.col("m")).alias("n"))
+        paths = sparse_product(paths, step).withColumnRenamed("c", "b")
     return paths.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("n_paths"))

@@ -1,10 +1,13 @@
 """Ordering, skewed joins, block scoring, scalar expressions."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.functions import scalar as V
 from edgeloom.operators import blocks
+from edgeloom.operators.graph import meta_path, sparse_product
+from edgeloom.operators.scoring import _sides, norm_pruning, pair_groups, top_pairs
 from edgeloom.operators.ordering import average_rank, dense_number, running_totals
 from edgeloom.operators.skew import spread_join
 
@@ -126,3 +129,57 @@ def test_owned_tables_are_deleted(spark):
             assert cut_lineage(kept).count() == 5
         assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
     assert set(os.listdir(folder)) == before
+
+
+@pytest.mark.parametrize("spread, k", [(1.5, 40), (0.0, 40), (1.5, 100_000)])
+def test_top_pairs_with_norm_bounds(spark, spread, k):
+    """The same rows as all scores sorted, with most cells skipped where norms differ; negative scores and known pairs too."""
+    rng = np.random.default_rng(10)
+
+    def side(kind, n):
+        return [(kind, i, (v / np.linalg.norm(v) * np.exp(spread * rng.normal())).tolist()) for i, v in enumerate(rng.normal(size=(n, 6)))]
+
+    rows = side("Gene", 400) + side("Disease", 230)
+    vectors = spark.createDataFrame(rows, "node_type string, idx long, vec array<double>")
+    types = [("Gene", "A", "Disease"), ("Gene", "B", "Disease")]
+    matrices = {kind: np.array([r[2] for r in rows if r[0] == kind]) for kind in ("Gene", "Disease")}
+    scores = np.round(matrices["Gene"] @ matrices["Disease"].T, 8)
+    best = np.dstack(np.unravel_index(np.argsort(-scores, axis=None)[:30], scores.shape))[0]
+    known = spark.createDataFrame([("Gene", "A", "Disease", int(i), int(j)) for i, j in best] + [("Gene", "A", "Disease", 10 ** 6, 1)],
+                                  "src_type string, rel string, dst_type string, src long, dst long")
+    got = {rel: [(r.src, r.dst, r.score) for r in part] for rel in "AB" if (part := top_pairs(vectors, types, known, k, block=16).where(F.col("rel") == rel).orderBy("rank").collect())}
+    hidden = {(int(i), int(j)) for i, j in best}
+    for rel in "AB":
+        every = sorted(((-scores[i, j], i, j) for i in range(400) for j in range(230) if rel == "B" or (i, j) not in hidden))[:k]
+        assert [(i, j) for i, j, _ in got[rel]] == [(i, j) for _, i, j in every]
+        assert np.allclose([s for _, _, s in got[rel]], [-s for s, _, _ in every], atol=1e-8)
+    queries, items = _sides(vectors, types)
+    pruning = norm_pruning(queries, items, None, pair_groups(types), k, 16)
+    assert (pruning is None) == (spread == 0.0)
+    if pruning is not None:
+        every, skipped = pruning.cells(16)
+        assert every > 300 and (skipped > every / 2 if k == 40 else skipped == 0)
+
+
+def test_sparse_product_cuts_hubs(spark):
+    """A node with many ends on both sides, beside light ones: the same counts, no task with all of its pairs."""
+    rng = np.random.default_rng(3)
+    left = [(i, 0, int(rng.integers(1, 4))) for i in range(300)] + [(int(a), int(b), 1) for a, b in rng.integers(1, 40, (200, 2))]
+    right = [(0, i, int(rng.integers(1, 4))) for i in range(250)] + [(int(a), int(b), 2) for a, b in rng.integers(1, 40, (200, 2))]
+    ldf, rdf = spark.createDataFrame(left, "a long, b long, n long"), spark.createDataFrame(right, "b long, c long, m long")
+    got = {(r.a, r.c): r.n for r in sparse_product(ldf, rdf, heavy=1000, side=40).collect()}
+    want = {}
+    for a, b, n in left:
+        for b2, c, m in right:
+            if b == b2:
+                want[a, c] = want.get((a, c), 0) + n * m
+    assert got == want
+    assert sparse_product(ldf.limit(0), rdf).count() == 0
+
+
+def test_meta_path_over_a_star(spark):
+    """10^5 edges into one middle node."""
+    edges = spark.range(100_000).select(F.lit("G").alias("src_type"), F.lit("R").alias("rel"), F.lit("M").alias("dst_type"), F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    out = spark.createDataFrame([("M", "S", "D", 0, 5), ("M", "S", "D", 0, 6)], "src_type string, rel string, dst_type string, src long, dst long")
+    paths = meta_path(edges.unionByName(out), [("G", "R", "M"), ("M", "S", "D")])
+    assert paths.agg(F.count("*"), F.sum("n_paths")).first()[:] == (200_000, 200_000)
