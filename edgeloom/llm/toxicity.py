@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +45,7 @@ WINDOW = 6
 REPORTING = ("said", "says", "quote", "quoted", "quoting", "called", "wrote", "writes", "term", "word",
              "sagte", "schrieb", "zitat", "wort", "dit", "citation", "mot", "dijo", "cita", "palabra")
 OPENING, CLOSING, EITHER = "“«„‹", "”»“›", "\""
+MARKS, LEADING = re.compile(f"[{OPENING}{CLOSING}{EITHER}]"), re.compile(r"\s*>")
 FEATURES = ("abuse", "quoted", "terms", "density")
 SCHEMA = pa.schema([("doc_id", pa.int64()), *[(name, pa.float64()) for name in FEATURES]])
 DDL = "doc_id bigint, " + ", ".join(f"{name} double" for name in FEATURES)
@@ -160,20 +163,50 @@ class Automaton:
         return word[order], self.accepts[state[order]], self.edits[state[order]]
 
 
-def _is_quoted(text: str, start: int, end: int) -> bool:
-    """Whether a hit is quotation, by its line and the words around it."""
-    line_start = text.rfind("\n", 0, start) + 1
-    line_end = text.find("\n", end)
-    line_end = len(text) if line_end < 0 else line_end
-    # A bounded stretch of a line keeps the cost of a hit constant.
-    before, after = text[max(line_start, start - 400):start], text[end:min(line_end, end + 400)]
-    if before.lstrip().startswith(">") and start - line_start <= 400:
+class Line:
+    """Quotation marks of one line, found once for all of its hits."""
+
+    def __init__(self, text: str, inside: int):
+        self.start = text.rfind("\n", 0, inside) + 1
+        end = text.find("\n", inside)
+        self.end = len(text) if end < 0 else end
+        first = LEADING.match(text, self.start, self.end)
+        self.quoted_after = first.end() if first else self.end + 1
+        self.marks: dict[str, list[int]] = {}
+        for found in MARKS.finditer(text, self.start, self.end):
+            self.marks.setdefault(found.group(), []).append(found.start())
+
+    def before(self, mark: str, at: int) -> int:
+        return bisect_left(self.marks.get(mark, ()), at)
+
+    def last(self, mark: str, at: int) -> int:
+        count = self.before(mark, at)
+        return self.marks[mark][count - 1] if count else -1
+
+    def after(self, mark: str, at: int) -> bool:
+        return self.before(mark, at) < len(self.marks.get(mark, ()))
+
+
+def _near(text: str, low: int, high: int, backward: bool) -> list[str]:
+    """The last or first ``WINDOW`` words of a stretch, read from its end no further than they need."""
+    size = 64
+    while True:
+        part = text[max(low, high - size):high] if backward else text[low:min(high, low + size)]
+        words = part.split()
+        if len(words) > WINDOW or size >= high - low:  # the word at the cut may be a part
+            return words[-WINDOW:] if backward else words[:WINDOW]
+        size *= 4
+
+
+def _is_quoted(text: str, start: int, end: int, line: Line) -> bool:
+    """Whether a hit is quotation, by its whole line's marks and the words around it."""
+    if line.quoted_after <= start:
         return True
-    if any(before.count(mark) % 2 and mark in after for mark in EITHER):
+    if any(line.before(mark, start) % 2 and line.after(mark, end) for mark in EITHER):
         return True
-    if any(before.rfind(o) > before.rfind(c) and c in after for o in OPENING for c in CLOSING):
+    if any(line.last(o, start) > line.last(c, start) and line.after(c, end) for o in OPENING for c in CLOSING):
         return True
-    near = before.split()[-WINDOW:] + after.split()[:WINDOW]
+    near = _near(text, line.start, start, True) + _near(text, end, line.end, False)
     return any(w.strip(".,;:!?()'") in REPORTING for w in near)
 
 
@@ -208,11 +241,14 @@ def _measured(part: pa.Table, own: Automaton, lexicon: Lexicon) -> pa.RecordBatc
     hits = Hits(part, own)
     features = np.zeros((hits.n, len(FEATURES)))
     seen: set[tuple[int, int]] = set()
+    line, owner = None, -1
     for d, t, e, start, end in zip(*(x.tolist() for x in (hits.doc, hits.term, hits.edits, hits.start, hits.end))):
         weight = lexicon.near_weights[t] if e else lexicon.weights[t]
         if weight <= 0:
             continue
-        quoted = _is_quoted(hits.lowered[d], start, end)
+        if line is None or owner != d or start >= line.end:  # hits come in order
+            line, owner = Line(hits.lowered[d], start), d
+        quoted = _is_quoted(hits.lowered[d], start, end, line)
         features[d, int(quoted)] += weight
         if not quoted and (d, t) not in seen:
             seen.add((d, t))
