@@ -51,6 +51,8 @@ IDENTIFIER = r"^(?=[^0-9]*+[0-9])[A-Za-z0-9@._+/-]{6,}+={0,2}$"
 #: Runs of identifier characters with a digit; each run is tried once.
 TOKEN = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z@._+/-]*+[0-9])[A-Za-z0-9@._+/-]{6,}+"
 CONFIDENT, SUPPORT = 0.5, 3
+#: Steps of a value's trust between 0 and 1.
+TRUST_STEPS = 1000
 SPAN = "array<struct<start:int,end:int,value:string,patterns:array<string>>>"
 OCCURRENCE = "array<struct<pattern:string,start:int,end:int,value:string>>"
 
@@ -142,19 +144,18 @@ def confident_patterns(found: DataFrame) -> DataFrame:
     looks = F.col("value").rlike(IDENTIFIER)
     nodes = edges.select("value").distinct().join(seeds, "value", "left").select(
         "value", F.coalesce("seed", F.when(F.col("value").rlike(SECRET), 1.0), F.lit(0.0)).alias("trust"))
-    before = None
     while True:
         nodes = cut_lineage(nodes)
         scores = edges.join(nodes, "value").groupBy("pattern").agg(
             F.avg("trust").alias("score"), F.sum((F.col("trust") > 0).cast("int")).alias("support"))
         scores = cut_lineage(scores.where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENT)).select("pattern", "score"))
-        # Trust never falls, so patterns only come.
-        state = scores.agg(F.count(F.lit(1)), F.round(F.avg("score"), 4)).first()
-        if state == before:
-            return scores
-        before = state
+        # Trust rises in whole steps up to 1, so the rounds end, and they end when no value's trust has changed.
         best = edges.join(bounded_broadcast(scores), "pattern").where(looks).groupBy("value").agg(F.max("score").alias("best"))
-        nodes = nodes.join(best, "value", "left").select("value", F.greatest("trust", F.coalesce("best", F.lit(0.0))).alias("trust"))
+        better = F.greatest("trust", F.floor(F.coalesce("best", F.lit(0.0)) * TRUST_STEPS) / TRUST_STEPS)
+        moved = cut_lineage(nodes.join(best, "value", "left").select("value", better.alias("trust"), (better > F.col("trust")).alias("moved")))
+        if moved.where("moved").isEmpty():
+            return scores
+        nodes = moved.drop("moved")
 
 
 def _joined(spans: Column) -> Column:
