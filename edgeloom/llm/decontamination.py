@@ -12,8 +12,10 @@ Texts and items are compared lower-cased, with every run of characters other
 than letters and digits as one blank. Items travel to the tasks in lots of
 ``LOT`` items, so what a task holds is bounded for any number of items.
 
-Defined results. Null and empty texts and items match nothing, as do items of
-fewer than ``SHORTEST`` characters; equal items all match. One row for each
+Items of fewer than ``SHORTEST`` characters leave no room for edits: they are found
+unchanged, between blanks or ends of the normalised text.
+
+Defined results. Null and empty texts and items match nothing; equal items all match. One row for each
 document row and item; clean documents have no row. Rows with a null id are
 ignored. Empty tables give an empty result. Only id and text columns are read.
 """
@@ -65,12 +67,15 @@ class Searcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items: list[tuple[int, str, int]] = []
         self.pieces: list[tuple[int, int, int, int, int]] = []  # item, offset, group, offset in group, group size
-        self.trie = ahocorasick.Automaton()
+        self.trie, self.whole = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.short: dict[str, list[int]] = {}  # by normalised text between blanks
         patterns, budgets, owners = [], [], {}
         for item_id, text in items:
             points, at = normalised([text])
             plain = points[:-1].astype(np.uint32).tobytes().decode("utf-32-le").strip()
             if len(plain) < SHORTEST:
+                if plain:
+                    self.short.setdefault(f" {plain} ", []).append(item_id)
                 continue
             k = int(rate * len(plain))
             number = len(self.items)
@@ -93,6 +98,10 @@ class Searcher:
             self.trie.add_word(piece, (len(piece), tuple(numbers)))
         if owners:
             self.trie.make_automaton()
+        for plain, ids in self.short.items():
+            self.whole.add_word(plain, (len(plain) - 2, tuple(ids)))
+        if self.short:
+            self.whole.make_automaton()
         letters = sorted({c for p in patterns for c in p})
         self.codes = np.zeros(0x110000, np.int32)
         for i, c in enumerate(letters):
@@ -130,6 +139,25 @@ class Searcher:
 
     def search(self, points: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(text, item id, edits, item length, end)`` of every item within its budget in every text."""
+        return sorted(self.search_short(points, at) + self.search_long(points, at))
+
+    def search_short(self, points: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Short items between blanks or ends of a text, unchanged; the first place of each."""
+        if not self.short:
+            return []
+        # Every blank stands for itself and every end of a text for one.
+        plain = " " + np.where(points == 0, 32, points).astype(np.uint32).tobytes().decode("utf-32-le")
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for last, (size, ids) in self.whole.iter(plain):
+            end = last - 1  # of the item, in ``points``
+            text = int(np.searchsorted(at, end - size, side="right")) - 1
+            if end > at[text + 1] - 1:  # it would run into the next text
+                continue
+            for item in ids:
+                found.setdefault((text, item), (size, end - int(at[text])))
+        return [(t, item, 0, size, end) for (t, item), (size, end) in found.items()]
+
+    def search_long(self, points: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         if not self.items:
             return []
         plain = points.astype(np.uint32).tobytes().decode("utf-32-le")

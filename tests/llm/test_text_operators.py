@@ -120,6 +120,26 @@ def reference_encoder():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def plain_quoted(text, start, end):
+    """Whether a hit is quotation, by counting marks of the whole line."""
+    begin, stop = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+    before, after = text[begin:start], text[end:len(text) if stop < 0 else stop]
+    near = before.split()[-6:] + after.split()[:6]
+    return (before.lstrip().startswith(">") or (before.count('"') % 2 == 1 and '"' in after)
+            or any(before.rfind(o) > before.rfind(c) and c in after for o in toxicity.OPENING for c in toxicity.CLOSING)
+            or any(w.strip(".,;:!?()'") in toxicity.REPORTING for w in near))
+
+
+def test_quotation_counts_whole_lines():
+    rng = random.Random(4)
+    for _ in range(400):
+        parts = [rng.choice(["abc", "x" * 70, '"', "“ ", "” ", "»", "«", "\n", "\n> ", " said ", " > ", " word, "]) + rng.choice(["", " "]) for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(parts))
+        head, tail = "".join(parts[:at]), "".join(parts[at:])
+        text, start, end = head + "HIT" + tail, len(head), len(head) + 3
+        assert toxicity._is_quoted(text, start, end, toxicity.Line(text, start)) == plain_quoted(text, start, end), text
+
+
 def test_tokens_match_the_library(spark):
     rng = random.Random(1)
     texts = [None, "", "don't we'll I've 'tis 's 'S''s \n's  's a'", "   ", " \n\n  x", "a  b", "a" * 3000, "!" * 999, "abab" * 300, " " * 5000,
@@ -167,6 +187,15 @@ def test_window_hashes_tell_windows_apart():
         assert dict(zip(strings, hashed.tolist())) == {s: h for s, h in zip(strings, hashed.tolist())}
 
 
+def test_short_benchmark_items_are_found_unchanged(spark):
+    items = [(1, "Ab-c d"), (2, "yes"), (3, "是的"), (4, " !! "), (5, "ab c d"), (6, None), (7, "x" * 30)]
+    texts = ["so: AB  c, D!", "abc d", "yes", "Yes. no", "yesterday", "是的。", "不是的", None, "", "end ab c", "d yes yes", "ab c", "d"]
+    table = docs(spark, texts)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.item_chars, r.end_at) for r in decontamination.contaminated(table, benchmark).collect())
+    assert got == [(0, 1, 0, 6, 9), (0, 5, 0, 6, 9), (2, 2, 0, 3, 3), (3, 2, 0, 3, 3), (5, 3, 0, 2, 2), (10, 2, 0, 3, 5)]
+
+
 def sellers(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
@@ -185,7 +214,7 @@ def plain(text):
 
 def test_benchmark_passages_match_brute_force(spark):
     rng = random.Random(7)
-    items = [(i, prose(300 + i, 12 + 3 * i)) for i in range(8)] + [(20, None), (21, ""), (22, "short"), (23, prose(300, 12))]
+    items = [(i, prose(300 + i, 12 + 3 * i)) for i in range(8)] + [(20, None), (21, ""), (22, "!?"), (23, prose(300, 12))]
     texts = [None, "", prose(1, 9000)]
     for number, text in items[:8]:
         for edits in (0, 3, 6, 9, 14):
