@@ -16,12 +16,15 @@ def expression_profile(expr: DataFrame, cells: DataFrame | None = None) -> DataF
     """Cells, mean, mean over expressing cells and percent expressing, per group and gene.
 
     Pass ``cells(cell_id, cell_type, condition)`` when zero values are not
-    stored: means then divide by all cells of the group.
+    stored: means then divide by all cells of the group. Sums are of nine decimals, exact, so that they
+    do not depend on the order of the rows.
     """
-    positive = F.when(F.col("value") > 0, F.col("value"))
+    value = F.col("value").cast("decimal(28,9)")
+    positive = F.when(F.col("value") > 0, value)
     stats = expr.groupBy(*GROUP, "gene").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total"),
-        F.coalesce(F.avg(positive), F.lit(0.0)).alias("pos_mean"), F.count(positive).alias("n_pos"))
+        F.count(F.lit(1)).alias("n_rows"), F.sum(value).cast("double").alias("total"),
+        F.sum(positive).cast("double").alias("pos_total"), F.count(positive).alias("n_pos"))
+    stats = stats.withColumn("pos_mean", F.coalesce(F.try_divide("pos_total", "n_pos"), F.lit(0.0)))
     if cells is None:
         sized = stats.withColumn("n_cells", F.col("n_rows"))
     else:

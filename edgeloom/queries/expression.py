@@ -9,8 +9,8 @@ from edgeloom.queries.registry import query
 
 PROGRAMS = {"Axis A": ["gene1", "gene2", "gene3"], "Axis B": ["gene2", "gene7"], "Ligand": ["gene11"]}
 PROFILE_SQL = """
-    SELECT cell_type, condition, gene, COUNT(*) AS n_cells, round(SUM(value) / COUNT(*), 6) AS mean_expr,
-           round(COALESCE(AVG(value) FILTER (value > 0), 0), 6) AS mean_expr_pos,
+    SELECT cell_type, condition, gene, COUNT(*) AS n_cells, round(SUM(value::DECIMAL(28, 9))::DOUBLE / COUNT(*), 6) AS mean_expr,
+           round(COALESCE(SUM(value::DECIMAL(28, 9)) FILTER (value > 0)::DOUBLE / COUNT(*) FILTER (value > 0), 0), 6) AS mean_expr_pos,
            round(100.0 * COUNT(*) FILTER (value > 0) / COUNT(*), 2) AS pct_positive
     FROM g_expr GROUP BY cell_type, condition, gene"""
 
@@ -21,8 +21,8 @@ def profile(t):
 
 
 @query("A13_profile_zero_suppressed", """
-    SELECT e.cell_type, e.condition, e.gene, g.n_cells, round(SUM(value) / g.n_cells, 6) AS mean_expr,
-           round(AVG(value), 6) AS mean_expr_pos, round(100.0 * COUNT(*) / g.n_cells, 2) AS pct_positive
+    SELECT e.cell_type, e.condition, e.gene, g.n_cells, round(SUM(value::DECIMAL(28, 9))::DOUBLE / g.n_cells, 6) AS mean_expr,
+           round(SUM(value::DECIMAL(28, 9))::DOUBLE / COUNT(*), 6) AS mean_expr_pos, round(100.0 * COUNT(*) / g.n_cells, 2) AS pct_positive
     FROM (SELECT * FROM g_expr WHERE value > 0) e JOIN (SELECT cell_type, condition, COUNT(DISTINCT cell_id) AS n_cells
           FROM g_expr GROUP BY 1, 2) g ON g.cell_type = e.cell_type AND g.condition = e.condition
     GROUP BY e.cell_type, e.condition, e.gene, g.n_cells""")
