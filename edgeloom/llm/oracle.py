@@ -43,26 +43,34 @@ FROM embeddings d LEFT JOIN counts USING (vec_id) LEFT JOIN least USING (vec_id)
 
 QUOTATION_LINKS = r"""
 WITH RECURSIVE lines AS (
-    SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations
-    WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-plain AS (
-    SELECT conv_id, turn, regexp_matches(line, '^[\x20\t]*>') AS quoted,
-           length(regexp_replace(regexp_extract(line, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g')) AS level,
-           trim(regexp_replace(lower(regexp_replace(line, '^(?:[\x20\t]*>)+', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM lines),
-q AS (SELECT * FROM plain WHERE quoted),
-o AS (SELECT DISTINCT conv_id, turn, words FROM plain WHERE NOT quoted AND words <> ''),
+    SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+levels AS (
+    SELECT *, list_transform(lines, lambda l: length(regexp_replace(regexp_extract(l, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g'))) AS levels FROM lines),
+blocks AS (
+    SELECT conv_id, turn, level, array_to_string(list_transform(list_zip(lines, levels), lambda z:
+        CASE WHEN z[2] = level THEN regexp_replace(z[1], '^(?:[\x20\t]*>)+', '') ELSE '' END), chr(10)) AS block
+    FROM (SELECT *, unnest(list_distinct(list_append(levels, 0))) AS level FROM levels)),
+parts AS (SELECT conv_id, turn, level, unnest(regexp_split_to_array(block, '\n(?:[\x20\t\r]*\n)+')) AS part FROM blocks),
+pieces AS (
+    SELECT conv_id, turn, level, unnest([replace(part, chr(10), ' ')] || regexp_split_to_array(replace(part, chr(10), ' '), '[.!?。！？]+(?:[\x20\t\r]+|$)')
+           || string_split(part, chr(10))) AS piece FROM parts),
+units AS (
+    SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(piece), '[^\p{L}\p{N}]+', ' ', 'g')) AS unit FROM pieces),
+q AS (SELECT * FROM units WHERE level > 0 AND unit <> ''),
+o AS (SELECT * FROM units WHERE level = 0 AND unit <> ''),
 found AS (
-    SELECT q.conv_id, q.turn, q.level, q.words, count(DISTINCT q.rn) AS n, max(o.turn) AS origin
-    FROM (SELECT *, row_number() OVER () AS rn FROM q WHERE words <> '') q JOIN o ON o.conv_id = q.conv_id AND o.words = q.words AND o.turn < q.turn
-    GROUP BY ALL),
-votes AS (SELECT conv_id, turn, origin, sum(n) AS lines FROM found WHERE level = 1 GROUP BY ALL),
-parents AS (SELECT conv_id, turn, (arg_max(origin, lines * 1000000000 + origin)) AS reply_to FROM votes GROUP BY ALL),
+    SELECT q.conv_id, q.turn, q.level, q.unit, len(string_split(q.unit, ' ')) AS n, max(o.turn) AS origin
+    FROM q JOIN o ON o.conv_id = q.conv_id AND o.unit = q.unit AND o.turn < q.turn GROUP BY ALL),
+nq AS (
+    SELECT conv_id, turn, sum(len(list_filter(levels, lambda x: x > 0))) AS n, min(list_min(list_filter(levels, lambda x: x > 0))) AS level
+    FROM levels GROUP BY ALL),
+votes AS (SELECT conv_id, turn, origin, sum(found.n) AS words FROM found JOIN nq USING (conv_id, turn, level) GROUP BY ALL),
+parents AS (SELECT conv_id, turn, (arg_max(origin, words * 1000000000 + origin)) AS reply_to FROM votes GROUP BY ALL),
 chain(conv_id, turn, thread) AS (
     SELECT conv_id, turn, reply_to FROM parents
     UNION SELECT c.conv_id, c.turn, p.reply_to FROM chain c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.thread),
 threads AS (SELECT conv_id, turn, min(thread) AS thread FROM chain GROUP BY ALL),
-nq AS (SELECT conv_id, turn, count(*) AS n FROM q GROUP BY ALL),
-nl AS (SELECT conv_id, turn, sum(n) AS n FROM found GROUP BY ALL)
+nl AS (SELECT conv_id, turn, count(*) AS n FROM found GROUP BY ALL)
 SELECT c.conv_id, c.turn, c.role, coalesce(threads.thread, c.turn) AS thread, reply_to,
        coalesce(nq.n, 0)::BIGINT AS n_quoted, coalesce(nl.n, 0)::BIGINT AS n_linked,
        '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || trim(CASE WHEN coalesce(nq.n, 0) > 0 THEN array_to_string(

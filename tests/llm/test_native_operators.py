@@ -6,9 +6,11 @@ import re
 import textwrap
 from pathlib import Path
 
+import duckdb
+from check_queries import compare
 from fixtures import docs
 
-from edgeloom.llm import license_scan, pii, quotation
+from edgeloom.llm import license_scan, oracle, pii, quotation
 
 TALK = "conv_id bigint, turn bigint, role string, text string, thread string, hash int"
 
@@ -38,6 +40,57 @@ def test_long_reply_chain(spark):
     assert {r.thread for r in got} == {0} and {r.turn: r.reply_to for r in got} == {i: i - 1 if i else None for i in range(40)}
 
 
+LONG = "The index is built once and then every query reads it; that is why the first one is slow. Later ones are fast! Do you see the same"
+
+
+def quoted_talk():
+    """Conversations whose quotes are wrapped anew, cut to a sentence, nested, or of nothing said."""
+    rows = [(1, 0, "user", LONG + "\n\nAnother paragraph here."), (1, 1, "assistant", "Thanks.")]
+    rows.append((1, 2, "user", "\n".join("> " + x for x in textwrap.wrap(LONG, 40)) + "\nYes, the same."))
+    rows.append((1, 3, "assistant", "> Later ones are fast!\n\nNot for me."))
+    rows.append((1, 4, "user", "\n".join(">> " + x for x in textwrap.wrap(LONG, 60)) + "\nhm"))
+    rows.append((1, 5, "user", "On Monday they wrote:\n>> Later ones are fast\n> Not for ME\n>\n> never said\nWhy not?"))
+    rng = random.Random(3)
+    said = ["Alpha beta gamma.", "Is it so?", "Yes it is, and more words follow. A second sentence.", "日本語です。次の文。", "one two three", "Short."]
+    for conv in range(2, 14):
+        texts = []
+        for turn in range(12):
+            own = "\n".join(rng.choice(said) for _ in range(rng.randint(0, 3)))
+            quotes = []
+            for _ in range(rng.randint(0, 2)):
+                mark = rng.choice(["> ", ">", ">> ", "> > ", ">>> "])
+                source = rng.choice(texts) if texts and rng.random() < 0.8 else "nobody said this"
+                quotes += [mark + x for x in textwrap.wrap(source.replace(">", " "), rng.randint(8, 60))]
+            texts.append("\n".join(rng.sample([*quotes, own], len(quotes) + 1)) if rng.random() < 0.3 else "\n".join([*quotes, own]))
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), rng.choice([texts[-1]] * 9 + [None])))
+    return rows
+
+
+def test_passages_link_however_they_are_wrapped(spark):
+    got = {(r.conv_id, r.turn): r for r in quotation.link_quotes(spark.createDataFrame([(*r, "t", 1) for r in quoted_talk()], TALK)).collect()}
+    assert [got[1, t].reply_to for t in range(6)] == [None, None, 0, 0, 0, 3]
+    assert [got[1, t].thread for t in range(6)] == [0, 1, 0, 0, 0, 0] and got[1, 5].body == "Why not?"
+
+
+def test_quotes_match_sql_on_a_table_with_quotes(spark):
+    rows = quoted_talk()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    linked = quotation.formatted(quotation.link_quotes(spark.createDataFrame([(*r, "t", 1) for r in rows], TALK)))
+    linked = linked.select("conv_id", "turn", "role", "thread", "reply_to", "n_quoted", "n_linked", "message")
+    assert linked.where("reply_to is not null").count() > 20
+    assert compare(linked, con.sql(oracle.QUOTATION_LINKS)) is None
+
+
+def test_reply_order(spark):
+    rows = [(1, 0, "user", "First thing."), (1, 1, "user", "Other thing."), (1, 2, "a", "> First thing.\nanswer one"), (1, 3, "a", "> Other thing.\nanswer two"),
+            (1, 4, "user", "> answer one\nmore"), (2, 0, "user", None), (None, 0, "user", "x")]
+    table = quotation.reply_ordered(quotation.link_quotes(spark.createDataFrame([(*r, "t", 1) for r in rows], TALK)))
+    got = sorted((r.conv_id, r.place, r.turn) for r in table.collect())
+    assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 4), (1, 4, 1), (1, 5, 3), (2, 1, 0)]
+
+
 def test_licenses(spark):
     texts = [
         None, "", "nothing here", "x\nLicensed under the Apache License, Version 2.0.\ny", "released UNDER the mit licence",
