@@ -23,7 +23,7 @@ def sorted_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     The tagged rows are written out: range bounds come from a sample, and every
     later read must see the same slices even if executors are lost.
     """
-    n = parallelism(df.sparkSession)
+    n = parallelism(df.sparkSession, df)
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.session import cut_lineage
+from edgeloom.session import cut_lineage, input_bytes
 
 HOT_ROWS = 1_000_000
 SMALL_ROWS = 1_000_000
@@ -24,15 +23,6 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables a plan reads, from the optimizer's statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    try:
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except ValueError:  # an estimate too long to read is no evidence of a small table
-        return sys.maxsize
-
-
 def spread_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
                 hot_rows: int = HOT_ROWS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Equi-join that splits each key with more than ``hot_rows`` rows.
@@ -44,7 +34,8 @@ def spread_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     ``|big| / hot_rows`` hot keys.
     """
     on = list(on)
-    if input_bytes(big) < split_bytes:
+    size = input_bytes(big)
+    if size is not None and size < split_bytes:
         return big.join(lookup, on, how)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > hot_rows).select(

@@ -91,6 +91,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Partition count for explicit range partitioning."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input that one explicit partition should take, and sizes that are estimates without ground.
+PIECE_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables a plan reads, from the optimizer's statistics; None where it knows none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    try:
+        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except ValueError:  # an estimate too long to read
+        return None
+    return total if total < UNKNOWN_BYTES else None
+
+
+def parallelism(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """Partition count for explicit partitioning: the session's, or more where ``rows`` reads more than that many pieces."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = None if rows is None else input_bytes(rows)
+    return least if size is None else max(least, -(-size // PIECE_BYTES))
