@@ -59,9 +59,13 @@ def window_hashes(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     Hashes of two neighbouring windows are mixed into that of the window of twice the length, so no
     sum of powers, whose collisions can be built, is behind it.
     """
-    level = mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(BASE))[data]
+    return run_hashes(mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(BASE))[data], length)
+
+
+def run_hashes(level: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every ``length`` neighbouring values."""
     out, done, size = None, 0, 1
-    n = len(data) - length + 1
+    n = len(level) - length + 1
     while True:
         if length & size:
             part = level[done:done + n]

@@ -34,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.bytestrings import digests, ragged, text_bytes, window_hashes
+from edgeloom.llm.bytestrings import binary_slices, digests, ragged, run_hashes, text_bytes, window_hashes
 from edgeloom.llm.columns import bounded_broadcast, chunks
+from edgeloom.llm.shingles import words as split_words
 from edgeloom.session import cut_lineage, parallelism
 
 LENGTH, GRAM = 400, 64
+#: Words of a passage whose sharing is reported.
+PASSAGE = 50
 LOT, WIDEST = 1 << 20, 3 << 20
 SYMBOLS = 7  # of nine bits, in one word
 
@@ -269,13 +272,59 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + length).cast("int").alias("to")))).alias("parts"))
 
 
+def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """``(key, n_shared)`` of texts that share a passage with the text of another row, from ``docs(key, text)``.
+
+    A stretch of about half as many words, the one of smallest hash, stands for every ``words``
+    neighbouring words, so texts that share a passage of ``words`` words share a stretch. ``n_shared``
+    counts a text's stretches that other rows hold. Equal texts have one key.
+    """
+    half = words // 2 + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", 1 << 20):
+            data, offsets = text_bytes(part["text"])
+            starts, ends, word_at = split_words(data, offsets)
+            at, found = np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+            if (np.diff(word_at) >= words).any():
+                named = binary_slices(data, starts, ends).dictionary_encode()
+                low = run_hashes(digests(named.dictionary.to_pylist())[named.indices.to_numpy()], half)
+                width, span = words - half + 1, 1
+                while span * 2 <= width:
+                    low = np.minimum(low[:-span], low[span:])
+                    span *= 2
+                if span < width:
+                    low = np.minimum(low[:len(low) - (width - span)], low[width - span:])
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(word_at))[:len(low)]
+                inside = np.arange(len(low)) + words <= word_at[owner + 1]
+                owner, found = owner[inside], low[inside]
+                order = np.lexsort((found, owner))
+                owner, found = owner[order], found[order]
+                new = np.ones(len(found), bool)
+                new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+                owner, found = owner[new], found[new]
+                at = np.searchsorted(owner, np.arange(len(offsets)))
+            rows = pa.table([part["key"].combine_chunks(), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], ["key", "runs"])
+            yield from rows.filter(pa.array(np.diff(at) > 0)).to_batches()
+
+    lists = docs.mapInArrow(cut, "key binary, runs array<bigint>").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("runs").alias("runs"))
+    single = cut_lineage(lists).select("key", "copies", F.explode("runs").alias("run"))
+    again = cut_lineage(single.groupBy("run").agg(F.sum("copies").alias("n")).where("n > 1").select("run"))
+    return single.join(bounded_broadcast(again), "run").groupBy("key").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])``, one row for every row of ``docs``."""
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared[, kept])``, one row for every row of ``docs``.
+
+    ``n_shared`` tells of passages of ``PASSAGE`` words that another row's text holds too, whatever they
+    have in bytes; nothing is removed for them alone.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(whole.cast("binary"))).alias("key"), whole.alias("text"))
-    spans = cut_lineage(repeated_spans(rows.select("key", "text"), length, gram))
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    spans = repeated_spans(rows.select("key", "text"), length, gram).join(shared_passages(rows.select("key", "text")), "key", "full")
+    spans = cut_lineage(spans)
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_shared", pa.int64())]
+    ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint"
     if keep_text:
         fields.append(("kept", pa.binary()))
         ddl += ", kept binary"
@@ -303,7 +352,8 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
                 runs.append(n)
                 sums.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            columns = [part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums, pa.string())]
+            columns = [part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums, pa.string()),
+                       part["n_shared"].combine_chunks().cast(pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_text, schema=schema)
 
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, ddl)
+    return rows.join(spans, "key", "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared")).mapInArrow(cut, ddl)

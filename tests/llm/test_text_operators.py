@@ -268,6 +268,15 @@ def test_repeated_strings_match_brute_force(spark, monkeypatch, widest):
     assert suffix_dedup.remove_repeated(docs(spark, texts).limit(0), 40, 8).count() == 0
 
 
+def test_shared_passages(spark):
+    """Two texts with 50 words in common share a stretch; texts without 26 in common share none; short ones never do."""
+    passage = prose(77, 50)
+    texts = [prose(1, 300) + " " + passage + " " + prose(2, 40), passage + " end", prose(3, 400), prose(4, 49), prose(4, 49), None, "", "\n".join([prose(5, 100)] * 2),
+             prose(6, 60), prose(6, 60), prose(7, 30) + " " + prose(77, 25) + " " + prose(8, 30)]
+    got = {r.doc_id: r.n_shared for r in suffix_dedup.remove_repeated(docs(spark, texts)).collect()}
+    assert [i for i, n in sorted(got.items()) if n] == [0, 1, 8, 9] and len(got) == len(texts)
+
+
 def test_expansion_finds_repeats_of_every_length():
     rng = random.Random(5)
     for length in (5, 8, 20, 60):
