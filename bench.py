@@ -12,7 +12,7 @@ HEADLINE = [
     "W3_stratified_split", "J3_inductive_routing", "A5_temporal_report", "J1_reindex_edges",
     "A3_degree", "J6_edge_dating", "N1_degree_preserving", "J12_all_pairs_summary",
     "F7_attention_aggregation", "F9_relational_mean", "K6_kge_filtered_evaluation",
-    "A13_expression_profile", "E2_nes", "E3_leave_one_out", "G1_anchor_bfs", "F1_entity_summary",
+    "A13_expression_profile", "K8_training_epochs", "E2_nes", "E3_leave_one_out", "G1_anchor_bfs", "F1_entity_summary",
 ]
 
 
