@@ -266,6 +266,30 @@ def test_tokens_of_like_use_have_like_vectors(spark):
     assert cosine("car", "auto") > 0.9 > 0.5 > cosine("car", "sum")
 
 
+def test_sparse_times_in_small_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 4), ("TASK_CELLS", 10), ("PART_ROWS", 3), ("CHUNK", 7)):
+        monkeypatch.setattr(LR, name, value)
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=(12, 11)) * (rng.random((12, 11)) < 0.6)
+    vectors = rng.normal(size=(11, 5))
+    cells = spark.createDataFrame([(a, b, float(dense[a, b])) for a, b in zip(*(x.tolist() for x in np.nonzero(dense)))], "a bigint, b bigint, v double")
+    dealt = LR.deal_cells(cells)
+    assert len(dealt[1]) == 3 and max(dealt[1].values()) > 1
+    got = {r.no: r.vec for r in LR.sparse_times(dealt, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "no bigint, vec array<double>")).collect()}
+    assert np.allclose([got[a] for a in range(12)], dense @ vectors)
+
+
+def test_token_pairs_leave_their_texts(spark):
+    pairs = FE.token_pairs(spark.createDataFrame([("x y x",), ("x y x",), (None,)], "text string"), window=2)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Generate explode(concat" in x)
+    assert "[0]" in line  # the text is not copied to each of its pairs
+    vocabulary, salt = FE.token_keys(spark.createDataFrame([("x y x",)], "text string"))
+    key = {r.token: r.key for r in vocabulary.collect()}
+    assert salt == 0 and {(r.a, r.b): r.n for r in pairs.collect()} == {
+        (key["x"], key["y"]): 4, (key["y"], key["x"]): 4, (key["x"], key["x"]): 4}
+
+
 def test_symmetric_vectors_match_eigenvectors(spark):
     rng = np.random.default_rng(8)
     half = rng.normal(size=(60, 4)) * [4, 3, 2, 1]
