@@ -3,6 +3,8 @@
 import itertools
 import math
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +268,25 @@ def test_tokens_of_like_use_have_like_vectors(spark):
     assert cosine("car", "auto") > 0.9 > 0.5 > cosine("car", "sum")
 
 
+def test_training_in_chunks_equals_broadcast(spark, monkeypatch):
+    from edgeloom.operators import kge
+    from edgeloom.session import shared_dir
+
+    triples = spark.createDataFrame([(i % 9, i % 2, (i * 5 + 3) % 20) for i in range(40)], "h bigint, r bigint, t bigint").distinct()
+    ids, kinds = spark.range(20), spark.range(2)
+    kept = len([p for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("epoch-")])
+    want = kge.fit(triples, ids, kinds, "rotate", dim=8, epochs=6, lr=0.05)
+    for name, value in (("BROADCAST_NUMBERS", 0), ("CHUNK_ROWS", 7), ("BATCH_ROWS", 3)):
+        monkeypatch.setattr(kge, name, value)
+    got = kge.fit(triples, ids, kinds, "rotate", dim=8, epochs=6, lr=0.05)
+    assert np.allclose(got[2], want[2]) and len(got[2]) == 6 and min(got[2]) > 0
+    for a, b in zip(got[:2], want[:2]):
+        mine, theirs = ({r.id: r.vec for r in x.collect()} for x in (a, b))
+        assert mine.keys() == theirs.keys() and all(np.allclose(mine[i], theirs[i]) for i in mine)
+    # Only the last state of each model is left.
+    assert len([p for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("epoch-")]) == kept + 2
+
+
 def test_sparse_times_in_small_blocks(spark, monkeypatch):
     for name, value in (("BLOCK_ROWS", 4), ("TASK_CELLS", 10), ("PART_ROWS", 3), ("CHUNK", 7)):
         monkeypatch.setattr(LR, name, value)
