@@ -2,7 +2,6 @@
 
 import itertools
 import math
-
 from pathlib import Path
 
 import numpy as np
@@ -268,6 +267,20 @@ def test_tokens_of_like_use_have_like_vectors(spark):
     assert cosine("car", "auto") > 0.9 > 0.5 > cosine("car", "sum")
 
 
+def test_walks_are_the_same_in_short_legs(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, (i + 1) % 7) for i in range(7)] + [(0, 3), (2, 5)], "a bigint, b bigint")
+    linked = {(r.a, r.b) for r in edges.collect()} | {(r.b, r.a) for r in edges.collect()}
+
+    def walked():
+        return {(r.start, r.walk_no): r.walk for r in FE.random_walks(edges, 8, 2).collect()}
+
+    monkeypatch.setattr(FE, "LEG", 3)
+    short = walked()
+    assert len(short) == 14 and all(len(w) == 8 and w[0] == k[0] and set(zip(w, w[1:])) <= linked for k, w in short.items())
+    monkeypatch.setattr(FE, "LEG", 100)
+    assert walked() == short
+
+
 def test_training_in_chunks_equals_broadcast(spark, monkeypatch):
     from edgeloom.operators import kge
     from edgeloom.session import shared_dir
