@@ -175,6 +175,4 @@ def universe(t):
     SELECT set_name, removed, len(genes) - 1 AS n_left,
            md5(array_to_string(list_filter(genes, lambda g: g <> removed), ',')) AS digest FROM r""")
 def loo_sets(t):
-    return E.remaining_genes(t.gene_sets).select(
-        "set_name", "removed", F.size("genes").cast("bigint").alias("n_left"),
-        F.md5(F.array_join("genes", ",")).alias("digest"))
+    return E.remaining_digests(t.gene_sets)

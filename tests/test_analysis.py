@@ -410,3 +410,14 @@ def test_two_layer_inference_matches_numpy(spark):
     assert len(got) == len(want)
     for r in got:
         assert np.allclose(r.vec, want[r.node_type, r.idx])
+
+
+def test_remaining_digests_are_those_of_the_lists(spark):
+    sets = spark.createDataFrame([("one", "x"), ("two", "b"), ("two", "a"), ("two", "ab"), ("two", "b"), ("odd", ""), ("odd", "é"), ("odd", None),
+                                  *[(f"s{i % 40}", f"P{i}") for i in range(600)]], "set_name string, gene string")
+    made = E.remaining_digests(sets)
+    want = E.remaining_genes(sets).select("set_name", "removed", F.size("genes").cast("bigint").alias("n_left"), F.md5(F.array_join("genes", ",")).alias("digest"))
+    assert made.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    # A small table of sets makes many bytes to digest: it must not end up in one task.
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
