@@ -12,6 +12,7 @@ from edgeloom.functions.scalar import parse_date, seeded_key
 from edgeloom.operators.graph import EDGE_TYPE, first_occurrence
 from edgeloom.operators.ordering import dense_number
 from edgeloom.operators.skew import spread_join
+from edgeloom.session import cut_lineage, spread
 
 PAIR = [*EDGE_TYPE, "src", "dst"]
 
@@ -86,8 +87,9 @@ def stratified_split(edges: DataFrame, train: float = 0.8, val: float = 0.1, tes
         raise ValueError("fractions must sum to 1")
     if relations is not None:
         edges = edges.where(F.col("rel").isin(list(relations)))
-    unique = edges.select(*PAIR).distinct()
-    keyed = unique.withColumn("_k", seeded_key(seed, F.col("src"), F.col("dst")))
+    unique = spread(edges.select(*PAIR), "src", "dst").distinct()
+    # Written once, for the bounds of the slices too. The bytes of a digest order as its digits do.
+    keyed = cut_lineage(unique.withColumn("_k", F.unhex(seeded_key(seed, F.col("src"), F.col("dst")))))
     placed = dense_number(keyed, EDGE_TYPE, [F.col("_k"), F.col("src"), F.col("dst")], "_pos")
     sizes = placed.groupBy(*EDGE_TYPE).agg(F.count(F.lit(1)).alias("_n")).select(
         *EDGE_TYPE, "_n",

@@ -243,3 +243,20 @@ def test_first_draws_cut_exactly(spark):
     kept = N.first_draws(rows, {0: 17, 1: 999, 2: 5000}, fan=8)
     got = {k: sorted(r.draw for r in kept.where(f"_rel = {k}").collect()) for k in (0, 1, 2)}
     assert got[0] == list(range(17)) and got[1] == [10 ** 9 + i for i in range(999)] and len(got[2]) == 1000
+
+
+def test_tasks_follow_the_size_of_their_input(spark, tmp_path, monkeypatch):
+    from edgeloom import session
+    from edgeloom.operators.ordering import running_totals
+
+    path = str(tmp_path / "rows")
+    spark.range(20_000).select(F.xxhash64("id").alias("k"), F.pmod("id", F.lit(3)).alias("g"), F.lit(1).cast("bigint").alias("v")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert session.spread(rows, "k").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(session, "PIECE_BYTES", 8_192)
+    assert session.spread(rows, "k").rdd.getNumPartitions() == -(-session.input_bytes(rows) // 8_192) > 8
+    totals = running_totals(rows, ["g"], [F.col("k")], {"upto": F.col("v")})
+    assert totals.groupBy("g").agg(F.max("upto").alias("n")).agg(F.sum("n")).first()[0] == 20_000
+    assert totals.select("g", "upto").distinct().count() == 20_000
+    # The window's tasks follow the size too: the session's four would each hold more the larger the input is.
+    assert totals.rdd.getNumPartitions() > 8
