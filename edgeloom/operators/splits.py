@@ -130,7 +130,7 @@ def known_true(split_edges: DataFrame, splits: Sequence[str],
     out = split_edges.where(F.col("split").isin(list(splits)))
     if relations is not None:
         out = out.where(F.col("rel").isin(list(relations)))
-    return out.select(*PAIR).distinct()
+    return spread(out.select(*PAIR), "src", "dst").distinct()
 
 
 def message_graph(split_edges: DataFrame, splits: Sequence[str] = ("train", "val")) -> DataFrame:
