@@ -245,6 +245,16 @@ def test_first_draws_cut_exactly(spark):
     assert got[0] == list(range(17)) and got[1] == [10 ** 9 + i for i in range(999)] and len(got[2]) == 1000
 
 
+def test_dates_of_other_relations_are_not_joined(spark):
+    edges = spark.createDataFrame([("A", "R", "B", 1, 1, "2001"), ("A", "Q", "B", 1, 1, "2002"), ("A", "R", "B", 2, 1, "2003"), ("A", None, "B", 3, 1, "2004")], EDGE)
+    key = ["src_type", "rel", "dst_type", "src", "dst"]
+    dates = spark.createDataFrame([("A", "R", "B", 1, 1, "1990"), ("A", "Q", "B", 1, 1, "1991"), ("A", "Q", "B", 1, 1, "1992")], EDGE)
+    out = L.inject_dates(edges, dates, key, ["R"])
+    assert out.columns == edges.columns
+    got = sorted((r.rel or "", r.src, r.pub_date) for r in out.collect())
+    assert got == [("", 3, "2004"), ("Q", 1, "2002"), ("R", 1, "1990"), ("R", 2, None)]
+
+
 def test_tasks_follow_the_size_of_their_input(spark, tmp_path, monkeypatch):
     from edgeloom import session
     from edgeloom.operators.ordering import running_totals
