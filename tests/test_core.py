@@ -1,5 +1,7 @@
 """Ordering, skewed joins, block scoring, scalar expressions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,50 @@ def test_blocks_distance(spark):
             assert abs(got[(i, j)] + np.linalg.norm(q[i] - items[j])) < 1e-7
 
 
+def test_tiles_decide_as_double_precision_does():
+    rng = np.random.default_rng(3)
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for metric in ("dot", "l2"):
+        for scale in (1.0, 1e-12, 1e5, 1e20):
+            q = rng.normal(size=(600, 6)) * scale
+            # Copies tie, and some items are a few units of double precision apart.
+            items = np.vstack([rng.normal(size=(4200, 6)) * scale, q[:300], q[:300], q[:300] * (1 + 1e-15)])
+            i, j = np.divmod(np.arange(len(q) * len(items)), len(items))
+            brute_scores = blocks._exact(q, items, metric, i, j).reshape(len(q), len(items))
+            least = brute_scores[np.arange(600), rng.integers(0, len(items), 600)]
+            pairs = rng.integers(0, 600, 900), rng.integers(0, len(items), 900)
+            for skip in (nothing, pairs):
+                open_scores = brute_scores.copy()
+                open_scores[skip] = -np.inf
+                cell = blocks.Cell("g", np.arange(600), q, least, np.arange(len(items)) * 3, items, metric, skip)
+                assert (blocks.count_above()[0](cell)["above"] == (open_scores > least[:, None]).sum(axis=1)).all()
+                best = np.argsort(-open_scores, axis=1, kind="stable")[:, :4]
+                got = blocks.keep_top_per_query(4)[0](cell)
+                assert (got["iid"].reshape(-1, 4) == 3 * best).all() and (got["score"].reshape(-1, 4) == np.take_along_axis(open_scores, best, 1)).all()
+                best = np.argsort(-open_scores.ravel(), kind="stable")[:50]
+                got = blocks.keep_top(50)[0](cell)
+                assert (got["qid"] == best // len(items)).all() and (got["iid"] == 3 * (best % len(items))).all()
+
+
+def test_memory_of_a_cell_is_that_of_its_tiles():
+    rng = np.random.default_rng(4)
+    q, items = rng.normal(size=(4096, 8)), rng.normal(size=(8192, 8))
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cell = blocks.Cell("g", np.arange(4096), q, np.full(4096, 3.0), np.arange(8192), items, "dot", nothing)
+    for fold in (blocks.keep_top(2000), blocks.keep_top_per_query(5), blocks.count_above(), blocks.summarise()):
+        tracemalloc.start()
+        fold[0](cell)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # The scores of the cell are 268 MB.
+        assert peak < 80e6
+
+
+def test_few_copies_of_large_sides(spark):
+    # 40,000 rows meet in blocks of 16,384, not of 2,048: each row is sent to few cells.
+    assert blocks._block_counts(spark.range(40_000).withColumn("grp", F.lit("g")), "grp", blocks.BLOCK, 1) == {"g": 3}
+
+
 def test_layer_norm_and_scale(spark):
     row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "v array<double>").select(
         V.layer_norm(F.col("v")).alias("n"), V.scale(F.col("v"), F.lit(2.0)).alias("s")).first()
