@@ -71,6 +71,35 @@ def test_paths_count_all_shortest_ones(spark):
     assert {r.idx: r.hops for r in V.anchor_hops(edges, anchors, 4).collect()} == {3: 0, 1: 1, 2: 1, 0: 2}
 
 
+def test_tied_paths_take_the_later_text_and_counts_carry_none(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    kinds, rels = ["A", "AB", "B"], ["R", "RS", "Q"]
+    rows = {(kinds[rng.integers(3)], rels[rng.integers(3)], kinds[rng.integers(3)], int(rng.integers(12)), int(rng.integers(12)), float(rng.integers(1, 3)) / 2) for _ in range(60)}
+    edges = spark.createDataFrame(sorted(rows), "src_type string, rel string, dst_type string, src long, dst long, w double")
+    starts = [("x", "A", 1), ("x", "A", 10), ("x", "AB", 1), ("y", "B", 2)]
+    anchors = spark.createDataFrame(starts, "anchor string, node_type string, idx long")
+    steps = [x for a, r, b, i, j, w in rows for x in (((a, i), (b, j), r, w), ((b, j), (a, i), "INVERSE_" + r, w))]
+    level = {(a, k, i): (0, 1, 1.0, f"{k}:{i}") for a, k, i in starts}
+    known = dict(level)
+    for hop in range(1, 5):
+        met = {}
+        for node, nbr, label, w in steps:
+            for anchor in ("x", "y"):
+                if (anchor, *nbr) in level and (anchor, *node) not in known:
+                    _, n, strength, path = level[anchor, *nbr]
+                    met.setdefault((anchor, *node), []).append((n, strength * w, f"{node[0]}:{node[1]}-{label}->{path}"))
+        level = {k: (hop, sum(n for n, _, _ in found), *max((s, p) for _, s, p in found)) for k, found in met.items()}
+        known |= level
+    got = {(r.anchor, r.node_type, r.idx): (r.hops, r.n_paths, r.strength, r.path) for r in V.path_cascade(edges, anchors, "w", 4).collect()}
+    assert got == known and max(v[0] for v in known.values()) >= 3
+    joined = []
+    real = V.spread_join
+    monkeypatch.setattr(V, "spread_join", lambda big, lookup, *more: joined.append(lookup.columns) or real(big, lookup, *more))
+    short = V.path_cascade(edges, anchors, "w", 4, texts=False)
+    assert {(r.anchor, r.node_type, r.idx): (r.hops, r.n_paths) for r in short.collect()} == {k: v[:2] for k, v in known.items()}
+    assert joined and not any("path" in columns for columns in joined)
+
+
 def test_expression(spark):
     expr = spark.createDataFrame([(1, "T", "Case", "g", 0.0), (2, "T", "Case", "g", 4.0), (3, "B", "Control", "g", 0.0)],
                                  "cell_id long, cell_type string, condition string, gene string, value double")
