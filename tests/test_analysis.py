@@ -363,6 +363,29 @@ def test_sparse_times_in_small_blocks(spark, monkeypatch):
     assert np.allclose([got[a] for a in range(12)], dense @ vectors)
 
 
+def test_text_vectors_keep_one_table(spark):
+    from edgeloom.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    texts = spark.createDataFrame([(i, f"w{i % 5} x{i % 3} y{i % 2}") for i in range(60)] + [(60, None), (61, "once")], "id long, text string")
+    vectors = FE.text_vectors(texts, dim=4)
+    assert len(set(folder.iterdir()) - before) == 1
+    got = {r.id: r.vec for r in vectors.collect()}
+    assert len(got) == 62 and got[60] == [0.0] * 4 and got[0] == got[30] != [0.0] * 4
+
+
+def test_sparse_times_beyond_the_narrow_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 2), ("NARROW", 2), ("WIDER", 3), ("TASK_CELLS", 5)):
+        monkeypatch.setattr(LR, name, value)
+    dense = np.random.default_rng(4).normal(size=(6, 15))
+    cells = spark.createDataFrame([(a, b, float(dense[a, b])) for a in range(6) for b in range(15)], "a bigint, b bigint, v double")
+    dealt = LR.deal_cells(cells)
+    assert sorted(dealt[1]) == [0, 1, 2, 3]
+    got = {r.no: r.vec for r in LR.sparse_times(dealt, spark.createDataFrame([(i, [float(i), 1.0]) for i in range(15)], "no bigint, vec array<double>")).collect()}
+    assert np.allclose([got[a] for a in range(6)], dense @ np.column_stack([np.arange(15), np.ones(15)]))
+
+
 def test_token_pairs_leave_their_texts(spark):
     pairs = FE.token_pairs(spark.createDataFrame([("x y x",), ("x y x",), (None,)], "text string"), window=2)
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()

@@ -1,6 +1,7 @@
 """Ordering, skewed joins, block scoring, scalar expressions."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -259,3 +260,21 @@ def test_meta_path_over_a_star(spark):
     out = spark.createDataFrame([("M", "S", "D", 0, 5), ("M", "S", "D", 0, 6)], "src_type string, rel string, dst_type string, src long, dst long")
     paths = meta_path(edges.unionByName(out), [("G", "R", "M"), ("M", "S", "D")])
     assert paths.agg(F.count("*"), F.sum("n_paths")).first()[:] == (200_000, 200_000)
+
+
+def test_handed_on_and_discarded_tables(spark):
+    from pyspark.sql import functions as F
+
+    from edgeloom.session import cut_lineage, discard, handed_on, owned_tables, tables_of
+
+    with owned_tables(spark):
+        with owned_tables(spark):
+            inner = cut_lineage(spark.range(5))
+            spent = cut_lineage(spark.range(3))
+            discard(spent)
+            assert not any(Path(f.removeprefix("file:")).exists() for f in tables_of(spent))
+            result = handed_on(inner.select((F.col("id") * 2).alias("id")))
+        folders = [Path(f.removeprefix("file:")) for f in (*tables_of(inner), *tables_of(result))]
+        assert [f.exists() for f in folders] == [False, True]
+        assert sorted(r.id for r in result.collect()) == [0, 2, 4, 6, 8]
+    assert not folders[1].exists()
