@@ -375,6 +375,21 @@ def test_text_vectors_keep_one_table(spark):
     assert len(got) == 62 and got[60] == [0.0] * 4 and got[0] == got[30] != [0.0] * 4
 
 
+def test_walks_leave_one_table_and_deal_neighbours_once(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from edgeloom.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    held = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a, f=DataFrame.persist, **k: held.append(self) or f(self, *a, **k))
+    edges = spark.createDataFrame([(i, (i + step) % 12) for i in range(12) for step in (1, 5)], "a long, b long")
+    walks = FE.random_walks(edges, 8, 2)
+    assert len(set(folder.iterdir()) - before) == 1 and len(held) == 1 and not held[0].is_cached
+    assert walks.count() == 24 and all(len(r.walk) == 8 and all((b - a) % 12 in (1, 5, 7, 11) for a, b in zip(r.walk, r.walk[1:])) for r in walks.collect())
+
+
 def test_sparse_times_beyond_the_narrow_blocks(spark, monkeypatch):
     for name, value in (("BLOCK_ROWS", 2), ("NARROW", 2), ("WIDER", 3), ("TASK_CELLS", 5)):
         monkeypatch.setattr(LR, name, value)
