@@ -109,6 +109,30 @@ def test_baseline_plan(spark):
     assert rows["ALL"].n_triples == 2 and rows["ALL"].model == "distmult" and 0 < rows["ALL"].mrr <= 1
 
 
+def test_filtered_ranks_in_turns(spark, monkeypatch):
+    """The same ranks whether rows meet the candidates at once or in turns; only the result's table is left."""
+    from pathlib import Path
+
+    from edgeloom.session import shared_dir
+
+    rng = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(kind, i, rng.normal(size=4).tolist()) for kind in ("Gene", "Disease") for i in range(15)],
+                                    "node_type string, idx long, vec array<double>")
+    pairs = spark.createDataFrame([("Gene", "R", "Disease", i % 15, (i * 4) % 15) for i in range(30)],
+                                  "src_type string, rel string, dst_type string, src long, dst long")
+
+    def ranks():
+        return sorted((r.src, r.dst, r.tail_rank, r.head_rank) for r in M.filtered_ranks(pairs, pairs, vectors).collect())
+
+    whole, seen = ranks(), []
+    monkeypatch.setattr(M, "TURN_COPIES", 20)
+    monkeypatch.setattr(M.blocks, "score_blocks", lambda *a, f=M.blocks.score_blocks, **k: seen.append(1) or f(*a, **k))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert ranks() == whole and len(whole) > 1 and len(seen) > 2
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 def test_filtered_ranks_of_ids_above_32_bits(spark):
     rng = np.random.default_rng(8)
     ids = [1, 2, (1 << 32) + 1, (1 << 40) + 5, 9, (1 << 32) + 9]
