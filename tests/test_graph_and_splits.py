@@ -270,3 +270,25 @@ def test_tasks_follow_the_size_of_their_input(spark, tmp_path, monkeypatch):
     assert totals.select("g", "upto").distinct().count() == 20_000
     # The window's tasks follow the size too: the session's four would each hold more the larger the input is.
     assert totals.rdd.getNumPartitions() > 8
+
+
+def test_uniform_fill_in_parts_and_turns(spark, monkeypatch):
+    """The same pairs whether draws look for their ends at once or in turns; no table but the result is left."""
+    from pathlib import Path
+
+    from edgeloom.session import shared_dir
+
+    edges = spark.createDataFrame([("A", "r", "B", i % 20, (i * 7) % 23) for i in range(60)], "src_type string, rel string, dst_type string, src long, dst long")
+    nodes = spark.createDataFrame([("A", i) for i in range(20)] + [("B", i) for i in range(23)], "node_type string, idx long")
+    drawn = []
+    monkeypatch.setattr(N, "_draws", lambda edges, wanted, start, f=N._draws: drawn.append(sum(wanted.values())) or f(edges, wanted, start))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    whole = N.degree_preserving(edges, nodes, 1, rounds=0)
+    assert len(set(folder.iterdir()) - before) == 1
+    n = edges.distinct().count()
+    assert drawn[0] == n + n // 16 + 16  # half as many again are drawn only where these fall short
+    found = {(r.src, r.dst) for r in whole.collect()}
+    assert len(found) == n and not found & {(r.src, r.dst) for r in edges.collect()}
+    monkeypatch.setattr(N, "TURN_DRAWS", 20)
+    assert {(r.src, r.dst) for r in N.degree_preserving(edges, nodes, 1, rounds=0).collect()} == found
